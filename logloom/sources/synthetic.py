@@ -1,0 +1,37 @@
+"""Synthetic load: unique log rows grouped into requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from logloom.functions.timefns import to_millis
+
+
+def request_logs(requests: DataFrame, sequence: str, base: str, per_request: int, error_code: str = "") -> DataFrame:
+    """`per_request` rows for each request of a table with a sequence number and a
+    base time. Rows are one millisecond apart."""
+    rows = requests.select(
+        F.col(sequence).alias("request"),
+        F.col(base).alias("base"),
+        F.explode(F.sequence(F.lit(1), F.lit(per_request))).alias("item"),
+    )
+    number = (F.col("request") + 1).cast("string")
+    item = F.col("item").cast("string")
+    trace = F.concat(F.lit("request-"), number, F.lit("-item-"), item)
+    code = error_code.strip()
+    fields = F.struct(
+        *([F.lit(code).alias("error_code")] if code else []),
+        F.lit("loadtest-1").alias("host"),
+        F.lit("us-west-2").alias("region"),
+        trace.alias("trace_id"),
+    )
+    shifted = F.timestamp_micros(F.unix_micros("base") + (F.col("item") - 1) * 1000)
+    return rows.select(
+        F.col("request") + 1,
+        "item",
+        to_millis(shifted).alias("timestamp"),
+        F.lit("error").alias("level"),
+        F.concat(F.lit("database timeout request="), number, F.lit(" item="), item).alias("message"),
+        F.to_json(fields).alias("fields_json"),
+    ).withColumnRenamed("(request + 1)", "request")
