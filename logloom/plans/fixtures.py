@@ -257,3 +257,155 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of row 0 serves as the embedded question."""
     row = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
     return [float(x) for x in row[0]]
+
+
+# raw records: the same events as a client would send them
+_SENT = "concat(replace(CAST(ts AS STRING), ' ', 'T'), 'Z')"
+_SENT_WEST = "concat(replace(CAST(ts - INTERVAL 7 HOUR AS STRING), ' ', 'T'), '-07:00')"
+_HOST_KEY = "CASE event_id % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'Host-Name' ELSE 'HOST' END"
+_HOST = "concat('\"', " + _HOST_KEY + ", '\":\" h', CAST(user_id % 10 AS STRING), ' \"')"
+_DURATION = "concat('\"duration_ms\":', CAST(CAST(floor(value) AS BIGINT) AS STRING))"
+_SECOND_HOST = "CASE WHEN event_id % 7 = 0 THEN ',\"hostname\":\"other\"' ELSE '' END"
+_TRACE = "CASE WHEN event_id % 2 = 0 THEN concat(',\"Trace-ID\":\"t-', CAST(user_id AS STRING), '\"') ELSE '' END"
+_REST = "concat(',\"region\":\" us-', CAST(event_id % 4 AS STRING), ' \",\"tags\":[\"a \",\"b\",[1,\" c\"]]')"
+_B = "CAST(floor(event_id / 25) AS BIGINT)"
+
+RECORDS: Projection = [
+    ("event_id", "event_id"),
+    (_B, "b"),
+    ("event_id % 25", "position"),
+    (f"CASE WHEN event_id % 4 = 1 THEN {_SENT_WEST} ELSE concat(' ', {_SENT}) END", "raw_ts"),
+    ("date_trunc('millisecond', ts)", "ts_millis"),
+    (_SENT, "canonical_ts"),
+    (
+        "CASE event_type WHEN 'error' THEN ' ERR' WHEN 'purchase' THEN 'Critical ' WHEN 'signup' THEN ' WARNING ' "
+        "WHEN 'click' THEN 'debug' ELSE 'Information' END",
+        "raw_level",
+    ),
+    (
+        "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'fatal' WHEN 'signup' THEN 'warn' "
+        "WHEN 'click' THEN 'debug' ELSE 'info' END",
+        "level",
+    ),
+    (
+        "concat(event_type, ' request ', CAST(event_id AS STRING), '  took ', "
+        "CAST(CAST(floor(value) AS BIGINT) AS STRING), ' ms')",
+        "message",
+    ),
+    (f"concat('{{', {_HOST}, ',', {_DURATION}, {_SECOND_HOST}, {_TRACE}, {_REST}, '}}')", "raw_fields"),
+    # what admission keeps: trimmed strings, sorted keys
+    (
+        "replace(replace(replace(concat('{', CASE WHEN event_id % 3 = 0 THEN '' ELSE concat(" + _HOST + ", ',') END, "
+        "CASE WHEN event_id % 2 = 0 THEN concat('\"Trace-ID\":\"t-', CAST(user_id AS STRING), '\",') ELSE '' END, "
+        f"{_DURATION}, CASE WHEN event_id % 3 = 0 THEN concat(',', {_HOST}) ELSE '' END, {_SECOND_HOST}, {_REST}, '}}'), "
+        "' \"', '\"'), '\" ', '\"'), '\" c', '\"c')",
+        "canonical_fields",
+    ),
+    # what normalisation keeps of the raw fields: host and trace keys removed
+    (f"concat('{{', {_DURATION}, {_REST}, '}}')", "kept_fields"),
+    ("concat('h', CAST(user_id % 10 AS STRING))", "host"),
+    ("CASE WHEN event_id % 2 = 0 THEN concat('t-', CAST(user_id AS STRING)) ELSE '' END", "trace_id"),
+]
+SQL["records"] = _select(RECORDS, "events")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _apply(table(spark, sf_dir, "events"), RECORDS)
+
+
+def _batched(rows: DataFrame, item) -> DataFrame:
+    """One row per batch of 25 consecutive records."""
+    packed = F.array_sort(F.collect_list(F.struct("position", item.alias("item"))))
+    return rows.groupBy("b").agg(F.transform(packed, lambda x: x["item"]).alias("items"))
+
+
+def ingest_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON bodies with known damage by batch number; every 13th is sent twice."""
+    rows = records(spark, sf_dir)
+    b, first = F.col("b"), F.col("position") == 0
+    level = F.when(first & (b % 17 == 0), "verbose").otherwise(F.col("raw_level"))
+    nested = F.when(first & (b % 29 == 0), F.lit('{"nested":{"a":1},')).otherwise(F.lit("{"))
+    fields = F.concat(nested, F.substring("raw_fields", F.lit(2), F.length("raw_fields")))
+    extra = F.when(first & (b % 47 == 0), F.lit(',"extra":1')).otherwise(F.lit(""))
+    item = F.concat(
+        F.lit('{"timestamp":"'), "raw_ts", F.lit('","level":"'), level, F.lit('","message":"  '),
+        "message", F.lit(' ","fields":'), fields, extra, F.lit("}"),
+    )
+    batches = _batched(rows, item)
+    version = F.when(b % 19 == 0, "logs.ingest.v2").otherwise(" logs.ingest.v1 ")
+    service = F.when(b % 37 == 0, F.lit("7")).otherwise(
+        F.concat(F.lit('"  Svc-'), (b % 5).cast("string"), F.lit(' "'))
+    )
+    whole = F.concat(
+        F.lit('{"schema_version":"'), version, F.lit('","service":'), service,
+        F.lit(',"env":" PROD","source":"App"'), F.when(b % 31 == 0, ',"region":"x"').otherwise(""),
+        F.lit(',"logs":['), F.array_join("items", ","), F.lit("]}"),
+    )
+    body = (
+        F.when(b % 23 == 0, F.substring(whole, F.lit(1), F.length(whole) - 5))
+        .when(b % 41 == 0, F.concat(whole, F.lit(" x")))
+        .when(b % 43 == 0, F.concat(whole, whole))
+        .otherwise(whole)
+    )
+    copies = F.when(b % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return batches.select(
+        "b", F.explode(copies).alias("copy"), (b % 3 + 1).alias("tenant_id"), body.alias("body")
+    )
+
+
+SQL["bodies"] = (
+    "SELECT b, c AS copy, b % 3 + 1 AS tenant_id, log_count, CASE WHEN b % 23 = 0 OR b % 31 = 0 OR b % 37 = 0 OR b % 41 = 0 "
+    "OR b % 43 = 0 OR b % 47 = 0 THEN 'invalid_request_body' END AS decode_error, "
+    "CASE WHEN b % 19 = 0 THEN 'unsupported schema_version \"logs.ingest.v2\"' "
+    "WHEN b % 17 = 0 THEN 'log[0]: level is unsupported' "
+    "WHEN b % 29 = 0 THEN 'log[0]: fields[\"nested\"]: unsupported field value type map[string]interface {}' END AS invalid "
+    "FROM (SELECT b, count(*) AS log_count FROM records GROUP BY b) "
+    "JOIN (SELECT unnest([0, 1]) AS c) ON c = 0 OR b % 13 = 0"
+)
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored raw batches: some records without a time, every 17th batch poisoned,
+    others breaking the contract."""
+    rows = records(spark, sf_dir)
+    b = F.col("b")
+    sent = F.when(F.col("event_id") % 6 == 5, F.lit("  ")).otherwise(F.col("raw_ts"))
+    item = F.struct(
+        F.when((F.col("position") == 0) & (b % 17 == 0), "yesterday").otherwise(sent).alias("timestamp"),
+        F.col("raw_level").alias("level"),
+        F.concat(F.lit("  "), "message", F.lit(" ")).alias("message"),
+        F.col("raw_fields").alias("fields"),
+    )
+    batches = _batched(rows, item)
+    request = F.concat(F.lit("req-"), b.cast("string"))
+    return batches.select(
+        "b",
+        F.when(b % 53 == 0, "logs.raw.v0").otherwise("logs.raw.v1").alias("schema_version"),
+        request.alias("request_id"),
+        F.when(b % 3 == 0, F.concat(F.lit("corr-"), b.cast("string"))).otherwise("").alias("correlation_id"),
+        F.when(b % 4 == 0, "").otherwise(F.concat(F.lit("bt-"), b.cast("string"), F.lit(" "))).alias("trace_id"),
+        F.when(b % 59 == 0, "").otherwise(request).alias("fingerprint"),
+        F.when(b % 61 == 0, "soon").otherwise("2024-02-01T00:00:00.123456789Z").alias("received_at"),
+        F.when(b % 67 == 0, 0).otherwise(b % 3 + 1).cast("bigint").alias("tenant_id"),
+        F.concat(F.lit(" Svc-"), (b % 5).cast("string"), F.lit(" ")).alias("service"),
+        F.lit(" PROD ").alias("env"),
+        F.lit("App").alias("source"),
+        F.col("items").alias("logs"),
+        (b + 1).alias("stream_seq"),
+        F.expr("timestamp'2024-02-01 00:00:00' + make_dt_interval(0, 0, CAST(b AS INT), 0)").alias("stored_at"),
+        F.concat(F.lit(" head-"), b.cast("string")).alias("header_request_id"),
+        F.when(b % 8 == 0, "").otherwise(F.concat(F.lit("ht-"), b.cast("string"))).alias("header_trace_id"),
+        (b % 7).cast("bigint").alias("attempts"),
+    )
+
+
+SQL["raw_batches"] = (
+    "SELECT b, count(*) AS log_count, b + 1 AS stream_seq, TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(b AS INTEGER)) AS stored_at, "
+    "concat('req-', b) AS request_id, CASE WHEN b % 67 = 0 THEN 0 ELSE b % 3 + 1 END AS tenant_id, "
+    "CASE WHEN b % 53 = 0 THEN 'invalid logs.raw event: invalid schema version' "
+    "WHEN b % 59 = 0 THEN 'invalid logs.raw event: fingerprint is required' "
+    "WHEN b % 67 = 0 THEN 'invalid logs.raw event: tenant_id is required' "
+    "WHEN b % 61 = 0 THEN 'normalize logs.raw event: parse received_at' "
+    "WHEN b % 17 = 0 THEN 'normalize logs.raw event: parse log timestamp' END AS error "
+    "FROM records GROUP BY b"
+)

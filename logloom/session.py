@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +47,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, for a job that stores tables of its own."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint in the shared folder (never executor-local storage)."""
     spark = df.sparkSession

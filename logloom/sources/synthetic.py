@@ -28,10 +28,10 @@ def request_logs(requests: DataFrame, sequence: str, base: str, per_request: int
     )
     shifted = F.timestamp_micros(F.unix_micros("base") + (F.col("item") - 1) * 1000)
     return rows.select(
-        F.col("request") + 1,
+        (F.col("request") + 1).alias("request"),
         "item",
         to_millis(shifted).alias("timestamp"),
         F.lit("error").alias("level"),
         F.concat(F.lit("database timeout request="), number, F.lit(" item="), item).alias("message"),
         F.to_json(fields).alias("fields_json"),
-    ).withColumnRenamed("(request + 1)", "request")
+    )
