@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import as_col, is_safe_key, trim_all
+from logloom.functions.text import as_col, is_safe_key, let, trim_all
 
 TEXT_MAP = "map<string,string>"
 VALUE_MAP = "map<string,variant>"
@@ -37,21 +37,24 @@ def text_map(fields_json: Column | str) -> Column:
     return F.from_json(as_col(fields_json), TEXT_MAP)
 
 
-def loose_key(key: Column, strip: str) -> Column:
-    """Key with case and the given separator characters ignored."""
-    return F.translate(F.lower(trim_all(key)), strip, "")
+def loose_keys(fields: Column, strip: str) -> Column:
+    """Sorted keys of a map as (plain, key): `plain` ignores case and separators."""
+    keys = F.coalesce(F.array_sort(F.map_keys(fields)), F.array().cast("array<string>"))
+    return F.transform(
+        keys,
+        lambda k: F.struct(F.translate(F.lower(trim_all(k)), strip, "").alias("plain"), k.alias("key")),
+    )
 
 
-def matching_keys(fields: Column, names: list[str], strip: str) -> Column:
-    """Sorted keys of the map that equal one of the names, separators ignored."""
+def matching_keys(loose: Column, names: list[str], strip: str) -> Column:
+    """Keys out of `loose_keys` that equal one of the names, smallest first."""
     wanted = sorted({"".join(c for c in n.lower() if c not in strip) for n in names})
-    keys = F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))
-    return F.array_sort(F.filter(keys, lambda k: loose_key(k, strip).isin(wanted)))
+    return F.transform(F.filter(loose, lambda e: e["plain"].isin(wanted)), lambda e: e["key"])
 
 
-def loose_lookup(fields: Column, names: list[str], strip: str = "_-.") -> Column:
+def loose_lookup(fields: Column, loose: Column, names: list[str], strip: str = "_-.") -> Column:
     """Trimmed value under the smallest matching key, '' if there is none."""
-    key = F.get(matching_keys(fields, names, strip), F.lit(0))
+    key = F.get(matching_keys(loose, names, strip), F.lit(0))
     return F.coalesce(trim_all(F.try_element_at(fields, key)), F.lit(""))
 
 
@@ -71,12 +74,15 @@ def without_keys(fields: Column, dropped: Column) -> Column:
 
 def sorted_json(fields: Column) -> Column:
     """JSON text of a value map with sorted keys; `{}` when empty or missing."""
-    keys = F.array_sort(F.map_keys(fields))
-    parts = F.transform(
-        keys, lambda k: F.concat(json_string(k), F.lit(":"), F.to_json(F.element_at(fields, k)))
-    )
-    body = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
-    return F.coalesce(body, F.lit("{}"))
+
+    def text(bound: Column) -> Column:
+        parts = F.transform(
+            F.array_sort(F.map_keys(bound)),
+            lambda k: F.concat(json_string(k), F.lit(":"), F.to_json(F.element_at(bound, k))),
+        )
+        return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+    return F.coalesce(let(fields, text), F.lit("{}"))
 
 
 def json_string(value: Column) -> Column:
@@ -86,8 +92,13 @@ def json_string(value: Column) -> Column:
 
 def has_object(value: Column) -> Column:
     """True where a JSON value is, or contains, an object."""
-    bare = F.regexp_replace(F.to_json(value), r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
-    return F.contains(bare, F.lit("{"))
+
+    def test(text: Column) -> Column:
+        # only arrays and objects need the strings taken out before looking for a brace
+        bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+        return text.rlike(r"\A[{\[]") & F.contains(bare, F.lit("{"))
+
+    return let(F.to_json(value), test)
 
 
 def trimmed_value_json(value: Column, depth: int = ARRAY_DEPTH) -> Column:
@@ -107,7 +118,7 @@ def trimmed_value_json(value: Column, depth: int = ARRAY_DEPTH) -> Column:
 def fields_error(fields: Column) -> Column:
     """First complaint about a value map, in key order; NULL if it is fine."""
 
-    def complaint(key: Column) -> Column:
+    def complaint(bound: Column, key: Column) -> Column:
         name = trim_all(key)
         return (
             F.when(name == "", F.lit("fields keys must be non-empty"))
@@ -116,7 +127,7 @@ def fields_error(fields: Column) -> Column:
                 F.concat(F.lit("fields key "), json_string(name), F.lit(" contains unsupported characters")),
             )
             .when(
-                has_object(F.element_at(fields, key)),
+                has_object(F.element_at(bound, key)),
                 F.concat(
                     F.lit("fields["),
                     json_string(name),
@@ -125,8 +136,11 @@ def fields_error(fields: Column) -> Column:
             )
         )
 
-    keys = F.array_sort(F.map_keys(fields))
-    return F.get(F.filter(F.transform(keys, complaint), lambda c: c.isNotNull()), F.lit(0))
+    def first(bound: Column) -> Column:
+        found = F.transform(F.array_sort(F.map_keys(bound)), lambda k: complaint(bound, k))
+        return F.get(F.filter(found, lambda c: c.isNotNull()), F.lit(0))
+
+    return let(fields, first)
 
 
 def canonical_fields(fields: Column) -> Column:
@@ -134,14 +148,27 @@ def canonical_fields(fields: Column) -> Column:
 
     Where two keys meet after trimming, the last one in original key order stays.
     """
-    originals = F.array_sort(F.map_keys(fields))
-    names = F.array_sort(F.array_distinct(F.transform(originals, trim_all)))
 
-    def entry(name: Column) -> Column:
-        last = F.element_at(F.filter(originals, lambda k: trim_all(k) == name), -1)
-        return F.concat(
-            json_string(name), F.lit(":"), trimmed_value_json(F.element_at(fields, last))
+    def text(bound: Column) -> Column:
+        pairs = F.array_sort(
+            F.transform(
+                F.map_keys(bound), lambda k: F.struct(trim_all(k).alias("name"), k.alias("key"))
+            )
         )
 
-    body = F.concat(F.lit("{"), F.array_join(F.transform(names, entry), ","), F.lit("}"))
-    return F.coalesce(body, F.lit("{}"))
+        def kept(sorted_pairs: Column) -> Column:
+            last = F.filter(
+                sorted_pairs,
+                lambda p, i: ~F.coalesce(F.get(sorted_pairs, i + 1)["name"] == p["name"], F.lit(False)),
+            )
+            parts = F.transform(
+                last,
+                lambda p: F.concat(
+                    json_string(p["name"]), F.lit(":"), trimmed_value_json(F.element_at(bound, p["key"]))
+                ),
+            )
+            return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+        return let(pairs, kept)
+
+    return F.coalesce(let(fields, text), F.lit("{}"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,13 +24,26 @@ LEVEL_SPELLINGS = {
 ERROR_LEVELS = ["error", "fatal", "critical", "panic"]
 
 
+# fixed values: Unicode white space
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once. Inside lambdas Spark does not share
+    common sub-expressions, so an expensive one is bound to a lambda variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_all(value: Column | str) -> Column:
     """Strip every Unicode white space character, not only the blank."""
-    return F.regexp_replace(as_col(value), r"(?U)^\s+|\s+\z", "")
+    return F.trim(as_col(value), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(value: Column | str) -> Column:

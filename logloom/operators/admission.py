@@ -10,6 +10,7 @@ from logloom.functions.jsonfields import canonical_fields, fields_error, json_st
 from logloom.functions.text import canon_tag, ingest_level, is_safe_tag, trim_all
 from logloom.functions.timefns import parse_instant
 from logloom.limits import DEFAULT, Limits
+from logloom.operators.binding import bind
 from logloom.operators.skew import admit_first, lookup_join
 from logloom.schemas import INGEST_VERSION, RAW_VERSION
 
@@ -97,7 +98,7 @@ def validate_batches(batches: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     error = batch_validation_error(limits)
     if "decode_error" in batches.columns:
         error = F.coalesce("decode_error", error)
-    return batches.withColumn("reason", error).withColumn(
+    return bind(batches, "reason", error).withColumn(
         "decision", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
     )
 
@@ -106,7 +107,7 @@ def canonical_batches(accepted: DataFrame) -> DataFrame:
     """Canonical tags and records of batches that passed validation."""
     for name in ("service", "env", "source"):
         accepted = accepted.withColumn(name, canon_tag(name))
-    return accepted.withColumn("logs", F.transform("logs", canonical_record))
+    return bind(accepted, "logs", F.transform("logs", canonical_record))
 
 
 def batch_fingerprint() -> Column:
@@ -139,7 +140,7 @@ def to_raw_events(canonical: DataFrame, received_at: Column) -> DataFrame:
         "correlation_id": "header_request_id",
         "trace_id": "header_trace_id",
     }
-    marked = canonical.withColumn("fingerprint", batch_fingerprint())
+    marked = bind(canonical, "fingerprint", batch_fingerprint())
     carried = [
         (F.col(source) if source in columns else F.lit("")).alias(name)
         for name, source in header.items()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.jsonfields import field_text, loose_lookup, text_map
+from logloom.functions.jsonfields import field_text, loose_keys, loose_lookup, text_map
 from logloom.functions.text import canon_tag, is_error
 from logloom.limits import DEFAULT, Limits, RequestError
 from logloom.operators.search import check_range, in_scope, oldest_first, positive, safe_filter
@@ -85,13 +85,13 @@ def truncation(rows: DataFrame, limit=None, limits: Limits = DEFAULT) -> DataFra
     )
 
 
-def flow_identity(fields: Column, trace_id: Column) -> tuple[Column, Column]:
+def flow_identity(fields: Column, loose: Column, trace_id: Column) -> tuple[Column, Column]:
     """(kind, id): session, else request, else trace, else user, else NULL."""
     candidates = [
-        ("session", loose_lookup(fields, SESSION_KEYS)),
-        ("request", loose_lookup(fields, REQUEST_KEYS)),
+        ("session", loose_lookup(fields, loose, SESSION_KEYS)),
+        ("request", loose_lookup(fields, loose, REQUEST_KEYS)),
         ("trace", F.coalesce(trace_id, F.lit(""))),
-        ("user", loose_lookup(fields, USER_KEYS)),
+        ("user", loose_lookup(fields, loose, USER_KEYS)),
     ]
     kinds = F.coalesce(*[F.when(value != "", F.lit(kind)) for kind, value in candidates])
     ids = F.coalesce(*[F.nullif(value, F.lit("")) for _, value in candidates])
@@ -102,7 +102,9 @@ def flow_rows(rows: DataFrame) -> DataFrame:
     """Rows with non-blank service, plus flow identity, error flag and named neighbours."""
     parsed = rows.withColumn("service", canon_tag("service")).filter(F.col("service") != "")
     parsed = parsed.withColumn("_fields", text_map("fields_json"))
-    kind, ident = flow_identity(F.col("_fields"), F.col("trace_id"))
+    parsed = parsed.withColumn("_loose", loose_keys(F.col("_fields"), "_-."))
+    fields, loose = F.col("_fields"), F.col("_loose")
+    kind, ident = flow_identity(fields, loose, F.col("trace_id"))
     ties = [c for c in ("ingest_id", "event_id", "fingerprint") if c in rows.columns]
     return parsed.select(
         "timestamp",
@@ -111,9 +113,9 @@ def flow_rows(rows: DataFrame) -> DataFrame:
         is_error("level").alias("is_error"),
         kind.alias("flow_kind"),
         ident.alias("flow_id"),
-        loose_lookup(F.col("_fields"), USER_KEYS).alias("user_id"),
-        canon_tag(loose_lookup(F.col("_fields"), UPSTREAM_KEYS)).alias("upstream"),
-        canon_tag(loose_lookup(F.col("_fields"), DOWNSTREAM_KEYS)).alias("downstream"),
+        loose_lookup(fields, loose, USER_KEYS).alias("user_id"),
+        canon_tag(loose_lookup(fields, loose, UPSTREAM_KEYS)).alias("upstream"),
+        canon_tag(loose_lookup(fields, loose, DOWNSTREAM_KEYS)).alias("downstream"),
         *ties,
     )
 

@@ -10,6 +10,7 @@ from logloom.functions.jsonfields import (
     HOST_KEYS,
     TRACE_KEYS,
     json_string,
+    loose_keys,
     matching_keys,
     sorted_json,
     value_map,
@@ -19,14 +20,15 @@ from logloom.functions.jsonfields import (
 from logloom.functions.templates import message_template, template_id
 from logloom.functions.text import canon_tag, stored_level, trim_all
 from logloom.functions.timefns import parse_instant, to_millis
+from logloom.operators.binding import bind
 from logloom.schemas import LOG_COLUMNS, RAW_VERSION
 
 SEPARATORS = "-_"
 
 
-def extract_field(fields: Column, names: list[str]) -> tuple[Column, Column]:
+def extract_field(fields: Column, loose: Column, names: list[str]) -> tuple[Column, Column]:
     """(value, matched keys): trimmed text under the smallest matching key."""
-    keys = matching_keys(fields, names, SEPARATORS)
+    keys = matching_keys(loose, names, SEPARATORS)
     first = F.get(keys, F.lit(0))
     return F.coalesce(trim_all(value_text(F.try_element_at(fields, first))), F.lit("")), keys
 
@@ -111,11 +113,13 @@ def normalize_batches(batches: DataFrame, keep: list[str] | None = None) -> Data
         F.posexplode("logs").alias("position", "record"),
     )
     record = F.col("record")
-    parsed = rows.withColumn("_fields", value_map(F.coalesce(record["fields"], F.lit("{}"))))
-    fields = F.col("_fields")
-    host, host_keys = extract_field(fields, HOST_KEYS)
-    trace, trace_keys = extract_field(fields, TRACE_KEYS)
-    message = trim_all(F.coalesce(record["message"], F.lit("")))
+    fields, message = F.col("_fields"), F.col("_message")
+    parsed = bind(rows, "_fields", value_map(F.coalesce(record["fields"], F.lit("{}"))))
+    parsed = parsed.withColumn("_message", trim_all(F.coalesce(record["message"], F.lit(""))))
+    parsed = bind(parsed, "_loose", loose_keys(fields, SEPARATORS))
+    host, host_keys = extract_field(fields, F.col("_loose"), HOST_KEYS)
+    trace, trace_keys = extract_field(fields, F.col("_loose"), TRACE_KEYS)
+    parsed = bind(parsed, "_dropped", F.concat(host_keys, trace_keys))
     built = parsed.select(
         to_millis(
             F.coalesce(parse_instant(F.coalesce(record["timestamp"], F.lit(""))), F.col("received"))
@@ -129,7 +133,7 @@ def normalize_batches(batches: DataFrame, keep: list[str] | None = None) -> Data
         F.coalesce(F.nullif(trace, F.lit("")), trim_all("batch_trace")).alias("trace_id"),
         message.alias("message"),
         message_template(message).alias("message_template"),
-        sorted_json(without_keys(fields, F.concat(host_keys, trace_keys))).alias("fields_json"),
+        sorted_json(without_keys(fields, F.col("_dropped"))).alias("fields_json"),
         F.col("request_id").alias("ingest_id"),
         F.octet_length(record_json(record)).cast("bigint").alias("raw_size_bytes"),
         "position",

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 from logloom.functions import retry
 from logloom.functions.hashing import log_fingerprint
-from logloom.functions.jsonfields import canonical_fields, value_map
+from logloom.functions.jsonfields import (
+    HOST_KEYS,
+    TRACE_KEYS,
+    canonical_fields,
+    loose_keys,
+    sorted_json,
+    value_map,
+    without_keys,
+)
 from logloom.functions.templates import message_template, template_id
 from logloom.functions.text import ingest_level, stored_level
 from logloom.operators import admission, integrity, normalize
@@ -278,12 +286,12 @@ def normalize_logs(spark, sf):
     fx.with_ctes("SELECT event_id, host, trace_id, kept_fields AS fields_json FROM records", "records"),
 )
 def extract_host_trace(spark, sf):
-    from logloom.functions.jsonfields import HOST_KEYS, TRACE_KEYS, sorted_json, without_keys
-
     rows = fx.records(spark, sf).select("event_id", value_map("raw_fields").alias("fields"))
-    host, host_keys = normalize.extract_field(F.col("fields"), HOST_KEYS)
-    trace, trace_keys = normalize.extract_field(F.col("fields"), TRACE_KEYS)
-    kept = without_keys(F.col("fields"), F.concat(host_keys, trace_keys))
+    rows = rows.withColumn("loose", loose_keys(F.col("fields"), normalize.SEPARATORS))
+    host, host_keys = normalize.extract_field(F.col("fields"), F.col("loose"), HOST_KEYS)
+    trace, trace_keys = normalize.extract_field(F.col("fields"), F.col("loose"), TRACE_KEYS)
+    rows = rows.withColumn("dropped", F.concat(host_keys, trace_keys))
+    kept = without_keys(F.col("fields"), F.col("dropped"))
     return rows.select(
         "event_id", host.alias("host"), trace.alias("trace_id"), sorted_json(kept).alias("fields_json")
     )

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.jsonfields import json_string
+from logloom.functions.text import let
 from logloom.functions.timefns import as_datetime
 from logloom.limits import DEFAULT, Limits, RequestError
+from logloom.operators.binding import bind
 from logloom.schemas import RECORD
 
 # fixed values: keys of a batch and of a record
@@ -25,43 +27,50 @@ def read_batches(spark: SparkSession, path: str, whole_files: bool = False) -> D
     return text.select(F.col("value").alias("body"))
 
 
-def _unknown(document: Column, known: list[str]) -> Column:
-    keys = F.json_object_keys(document)
-    return F.size(F.array_except(keys, F.array(*[F.lit(k) for k in known]))) > 0
+_OBJECT = "map<string,variant>"
 
 
-def _not_text(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
+def _object(value: Column) -> Column:
+    """Members of a JSON object, NULL for any other value."""
+    return F.try_variant_get(value, "$", _OBJECT)
 
 
-def _part(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
+def _is_null(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+def _wrong_text(value: Column) -> Column:
+    return ~_is_null(value) & (F.schema_of_variant(value) != "STRING")
 
 
-def _bad_record(record: Column) -> Column:
-    fields = _part(record, "fields")
-    wrong_fields = F.coalesce(
-        ~(F.schema_of_variant(fields).startswith("OBJECT") | (F.schema_of_variant(fields) == "VOID")),
-        F.lit(False),
-    )
-    wrong_text = F.lit(False)
-    for name in RECORD_TEXT:
-        wrong_text = wrong_text | _not_text(_part(record, name))
-    return ~_is_object(record) | _unknown(F.to_json(record), RECORD_KEYS) | wrong_fields | wrong_text
+def _unknown(members: Column, known: list[str]) -> Column:
+    return F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(k) for k in known]))) > 0
+
+
+def _member(members: Column, name: str) -> Column:
+    return F.try_element_at(members, F.lit(name))
+
+
+def _text(members: Column, name: str) -> Column:
+    return F.try_variant_get(_member(members, name), "$", "string")
 
 
 def _decoded_record(record: Column) -> Column:
-    fields = _part(record, "fields")
-    text = F.when(F.schema_of_variant(fields).startswith("OBJECT"), F.to_json(fields))
-    return F.struct(
-        *[F.try_variant_get(record, f"$.{n}", "string").alias(n) for n in RECORD_TEXT],
-        text.alias("fields"),
-    )
+    """One record as a struct with a `bad` flag."""
+
+    def decode(members: Column) -> Column:
+        fields = _member(members, "fields")
+        bad = members.isNull() | _unknown(members, RECORD_KEYS)
+        for name in RECORD_TEXT:
+            bad = bad | _wrong_text(_member(members, name))
+        bad = bad | (~_is_null(fields) & _object(fields).isNull())
+        return F.struct(
+            *[_text(members, n).alias(n) for n in RECORD_TEXT],
+            F.when(~_is_null(fields), F.to_json(fields)).alias("fields"),
+            F.coalesce(bad, F.lit(True)).alias("bad"),
+        )
+
+    return let(_object(record), decode)
 
 
 def decode_batches(raw: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -70,37 +79,30 @@ def decode_batches(raw: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     The body must be exactly one JSON object with known keys and the right types;
     anything else is an error, never an exception.
     """
+    sized = raw.withColumn("body_bytes", F.octet_length("body").cast("bigint"))
+    fits = F.col("body_bytes") <= limits.batch_bytes
     # wrapping shows text after the object and a second object alike
-    wrapped = F.try_parse_json(F.concat(F.lit('{"b":['), F.col("body"), F.lit('],"e":1}')))
-    one = F.size(F.try_variant_get(wrapped, "$.b", "array<variant>")) == 1
-    parsed = raw.withColumn("_size", F.octet_length("body")).withColumn(
-        "_doc", F.when((F.col("_size") <= limits.batch_bytes) & one, F.try_variant_get(wrapped, "$.b[0]", "variant"))
-    )
+    wrapped = F.concat(F.lit('{"b":['), F.col("body"), F.lit('],"e":1}'))
+    members = F.when(fits, F.try_variant_get(F.try_parse_json(wrapped), "$.b", "array<variant>"))
+    one = let(members, lambda a: F.when(F.size(a) == 1, _object(F.get(a, F.lit(0)))))
+    parsed = bind(sized, "_doc", one)
     doc = F.col("_doc")
-    logs = _part(doc, "logs")
+    logs = _member(doc, "logs")
     items = F.try_variant_get(logs, "$", "array<variant>")
-    logs_kind = F.schema_of_variant(logs)
-    wrong_text = F.lit(False)
+    parsed = bind(parsed, "_items", F.transform(items, _decoded_record))
+    wrong = _unknown(doc, BATCH_KEYS) | (~_is_null(logs) & F.col("_items").isNull())
     for name in BATCH_TEXT:
-        wrong_text = wrong_text | _not_text(_part(doc, name))
-    wrong_logs = F.coalesce(~(logs_kind.startswith("ARRAY") | (logs_kind == "VOID")), F.lit(False))
-    error = (
-        F.when(F.col("_size") > limits.batch_bytes, TOO_LARGE)
-        .when(~_is_object(doc), INVALID)
-        .when(_unknown(F.to_json(doc), BATCH_KEYS) | wrong_text | wrong_logs, INVALID)
-        .when(F.coalesce(F.exists(items, _bad_record), F.lit(False)), INVALID)
-    )
-    decoded = parsed.withColumn("decode_error", error)
+        wrong = wrong | _wrong_text(_member(doc, name))
+    bad_record = F.coalesce(F.exists("_items", lambda x: x["bad"]), F.lit(False))
+    error = F.when(~fits, TOO_LARGE).when(doc.isNull() | wrong | bad_record, INVALID)
+    decoded = bind(parsed, "decode_error", error)
     usable = F.col("decode_error").isNull()
-    texts = [
-        F.when(usable, F.try_variant_get(doc, f"$.{n}", "string")).alias(n) for n in BATCH_TEXT
-    ]
-    records = F.when(usable, F.transform(items, _decoded_record)).cast(f"array<{RECORD}>")
+    records = F.transform("_items", lambda x: F.struct(*[x[n].alias(n) for n in RECORD_KEYS]))
     return decoded.select(
         *[F.col(c) for c in raw.columns],
-        *texts,
-        records.alias("logs"),
-        F.col("_size").cast("bigint").alias("body_bytes"),
+        *[F.when(usable, _text(doc, n)).alias(n) for n in BATCH_TEXT],
+        F.when(usable, records).cast(f"array<{RECORD}>").alias("logs"),
+        "body_bytes",
         "decode_error",
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.limits import DEFAULT, Limits
 from logloom.operators import admission, normalize
+from logloom.operators.binding import bind
 from logloom.operators.lifecycle import reconcile
 from logloom.operators.rules import compile_rules, evaluate_newest, runnable
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
@@ -54,14 +55,12 @@ def classify(raw_events: DataFrame, max_deliveries: int = MAX_DELIVERIES) -> Dat
     """Add `reason` and `error`: invalid_batch for a breach or an unreadable record,
     retry_exhausted where the delivery count says so, NULL for good batches."""
     attempts = F.col("attempts") if "attempts" in raw_events.columns else F.lit(0)
-    error = normalize.batch_error()
     spent = attempts >= max_deliveries
-    return raw_events.withColumn("error", error).withColumn(
-        "reason",
-        F.when(F.col("error").isNotNull(), "invalid_batch").when(spent, "retry_exhausted"),
-    ).withColumn(
-        "error", F.coalesce("error", F.when(F.col("reason").isNotNull(), "delivery attempts used up"))
-    )
+    checked = bind(raw_events, "error", normalize.batch_error())
+    broken = F.col("error").isNotNull()
+    return checked.withColumn(
+        "reason", F.when(broken, "invalid_batch").when(spent, "retry_exhausted")
+    ).withColumn("error", F.when(broken, F.col("error")).when(spent, "delivery attempts used up"))
 
 
 def malformed_letters(bodies: DataFrame) -> DataFrame:
