@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.hashing import short_sha
-from logloom.functions.jsonfields import canonical_fields, fields_error, json_string, value_map
+from logloom.functions.jsonfields import canonical_fields, fields_error, json_string
 from logloom.functions.text import canon_tag, ingest_level, is_safe_tag, trim_all
 from logloom.functions.timefns import parse_instant
 from logloom.limits import DEFAULT, Limits
@@ -34,14 +34,14 @@ def _text(value: Column) -> Column:
 
 
 def record_error(record: Column) -> Column:
-    """First complaint about one record, NULL if it is fine."""
+    """First complaint about one record (fields as a map of typed values)."""
     stamp = trim_all(_text(record["timestamp"]))
     return F.coalesce(
         F.when(stamp == "", "timestamp is required"),
         F.when(parse_instant(stamp).isNull(), "timestamp must be RFC3339"),
         F.when(ingest_level(_text(record["level"])).isNull(), "level is unsupported"),
         F.when(trim_all(_text(record["message"])) == "", "message is required"),
-        fields_error(value_map(record["fields"])),
+        fields_error(record["fields"]),
     )
 
 
@@ -89,7 +89,7 @@ def canonical_record(record: Column) -> Column:
         F.concat(stamp, F.lit("Z")).alias("timestamp"),
         ingest_level(record["level"]).alias("level"),
         trim_all(record["message"]).alias("message"),
-        F.nullif(canonical_fields(value_map(record["fields"])), F.lit("{}")).alias("fields"),
+        F.nullif(canonical_fields(record["fields"]), F.lit("{}")).alias("fields"),
     )
 
 

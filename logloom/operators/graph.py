@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from logloom.functions.jsonfields import field_text, loose_keys, loose_lookup, text_map
 from logloom.functions.text import canon_tag, is_error
 from logloom.limits import DEFAULT, Limits, RequestError
+from logloom.operators.binding import bind
 from logloom.operators.search import check_range, in_scope, oldest_first, positive, safe_filter
 from logloom.operators.skew import with_previous
 
@@ -100,22 +101,29 @@ def flow_identity(fields: Column, loose: Column, trace_id: Column) -> tuple[Colu
 
 def flow_rows(rows: DataFrame) -> DataFrame:
     """Rows with non-blank service, plus flow identity, error flag and named neighbours."""
-    parsed = rows.withColumn("service", canon_tag("service")).filter(F.col("service") != "")
-    parsed = parsed.withColumn("_fields", text_map("fields_json"))
-    parsed = parsed.withColumn("_loose", loose_keys(F.col("_fields"), "_-."))
+    named = rows.withColumn("service", canon_tag("service")).filter(F.col("service") != "")
+    parsed = bind(named, "_fields", text_map("fields_json"))
+    parsed = bind(parsed, "_loose", loose_keys(F.col("_fields"), "_-."))
     fields, loose = F.col("_fields"), F.col("_loose")
     kind, ident = flow_identity(fields, loose, F.col("trace_id"))
+    found = F.struct(
+        kind.alias("kind"),
+        ident.alias("id"),
+        loose_lookup(fields, loose, USER_KEYS).alias("user"),
+        canon_tag(loose_lookup(fields, loose, UPSTREAM_KEYS)).alias("up"),
+        canon_tag(loose_lookup(fields, loose, DOWNSTREAM_KEYS)).alias("down"),
+    )
     ties = [c for c in ("ingest_id", "event_id", "fingerprint") if c in rows.columns]
-    return parsed.select(
+    return bind(parsed, "_found", found).select(
         "timestamp",
         "service",
         "trace_id",
         is_error("level").alias("is_error"),
-        kind.alias("flow_kind"),
-        ident.alias("flow_id"),
-        loose_lookup(fields, loose, USER_KEYS).alias("user_id"),
-        canon_tag(loose_lookup(fields, loose, UPSTREAM_KEYS)).alias("upstream"),
-        canon_tag(loose_lookup(fields, loose, DOWNSTREAM_KEYS)).alias("downstream"),
+        F.col("_found.kind").alias("flow_kind"),
+        F.col("_found.id").alias("flow_id"),
+        F.col("_found.user").alias("user_id"),
+        F.col("_found.up").alias("upstream"),
+        F.col("_found.down").alias("downstream"),
         *ties,
     )
 
@@ -125,35 +133,34 @@ def _ties(flows: DataFrame) -> list[str]:
 
 
 def flow_edges(flows: DataFrame) -> DataFrame:
-    """One row per (flow, source, target) with error and propagation flags."""
-    members = flows.filter(F.col("flow_id").isNotNull())
-    no = F.lit(False)
-
-    def named(source: str, target: str, test: str) -> DataFrame:
-        return members.filter((F.col(test) != "") & (F.col(test) != F.col("service"))).select(
-            *FLOW,
-            F.col(source).alias("source"),
-            F.col(target).alias("target"),
-            F.col("is_error").alias("error"),
-            no.alias("propagated"),
-        )
+    """One row per (flow, source, target) with error and propagation flags.
 
-    explicit = named("upstream", "service", "upstream").unionByName(
-        named("service", "downstream", "downstream")
+    Named and inferred edges come out of one pass over the rows.
+    """
+    members = flows.filter(F.col("flow_id").isNotNull())
+    slim = members.select(
+        *FLOW, "timestamp", "service", "is_error", "upstream", "downstream", *_ties(members)
     )
-    slim = members.select(*FLOW, "timestamp", "service", "is_error", *_ties(members))
     steps = with_previous(slim, FLOW, "timestamp", _ties(members), ["service", "is_error"])
-    inferred = steps.filter(F.col("prev_service") != F.col("service")).select(
-        *FLOW,
-        F.col("prev_service").alias("source"),
-        F.col("service").alias("target"),
-        F.col("is_error").alias("error"),
-        (F.col("prev_is_error") & F.col("is_error")).alias("propagated"),
+
+    def edge(source: str, target: str, propagated: Column) -> Column:
+        ends = [F.col(source).alias("source"), F.col(target).alias("target")]
+        return F.struct(*ends, propagated.alias("propagated"))
+
+    passed_on = F.coalesce(F.col("prev_is_error") & F.col("is_error"), F.lit(False))
+    edges = F.array(
+        edge("upstream", "service", F.lit(False)),
+        edge("service", "downstream", F.lit(False)),
+        edge("prev_service", "service", passed_on),
+    )
+    real = F.filter(
+        edges,
+        lambda e: (e["source"] != "") & (e["target"] != "") & (e["source"] != e["target"]),
     )
     return (
-        explicit.unionByName(inferred)
-        .groupBy(*FLOW, "source", "target")
-        .agg(F.bool_or("error").alias("error"), F.bool_or("propagated").alias("propagated"))
+        steps.select(*FLOW, F.col("is_error").alias("error"), F.explode(real).alias("_e"))
+        .groupBy(*FLOW, F.col("_e.source").alias("source"), F.col("_e.target").alias("target"))
+        .agg(F.bool_or("error").alias("error"), F.bool_or("_e.propagated").alias("propagated"))
     )
 
 
@@ -170,9 +177,22 @@ def service_edges(rows: DataFrame) -> DataFrame:
     )
 
 
-def flow_services(flows: DataFrame) -> DataFrame:
+def flow_parts(flows: DataFrame) -> DataFrame:
+    """Rows reduced to (flow, trace, service, neighbours): the one pass that nodes and
+    sessions are derived from. A large flow is spread over its traces and services."""
+    order = F.struct("timestamp", *_ties(flows), "user_id")
+    return flows.groupBy(*FLOW, "trace_id", "service", "upstream", "downstream").agg(
+        F.count("*").alias("logs"),
+        F.count_if("is_error").alias("errors"),
+        F.min("timestamp").alias("first_at"),
+        F.max("timestamp").alias("last_at"),
+        F.min(F.when(F.col("user_id") != "", order)).alias("first_user"),
+    )
+
+
+def flow_services(parts: DataFrame) -> DataFrame:
     """Distinct (flow, service), with services only named as neighbours."""
-    members = flows.filter(F.col("flow_id").isNotNull())
+    members = parts.filter(F.col("flow_id").isNotNull())
     names = F.array("service", "upstream", "downstream")
     return (
         members.select(*FLOW, F.explode(F.array_distinct(names)).alias("service"))
@@ -183,11 +203,11 @@ def flow_services(flows: DataFrame) -> DataFrame:
 
 def service_nodes(rows: DataFrame) -> DataFrame:
     """log_count and error_count per service, and the flows it was seen in."""
-    flows = flow_rows(rows)
-    seen = flows.groupBy("service").agg(
-        F.count("*").alias("log_count"), F.count_if("is_error").alias("error_count")
+    parts = flow_parts(flow_rows(rows))
+    seen = parts.groupBy("service").agg(
+        F.sum("logs").alias("log_count"), F.sum("errors").alias("error_count")
     )
-    in_flows = flow_services(flows).groupBy("service").agg(F.count("*").alias("flow_count"))
+    in_flows = flow_services(parts).groupBy("service").agg(F.count("*").alias("flow_count"))
     return (
         seen.join(in_flows, "service", "full")
         .select(
@@ -203,29 +223,26 @@ def service_nodes(rows: DataFrame) -> DataFrame:
 def flow_sessions(rows: DataFrame) -> DataFrame:
     """One row per flow. Traces are counted here and listed by `flow_traces`,
     because a flow may hold any number of them; services are few by nature."""
-    flows = flow_rows(rows)
-    members = flows.filter(F.col("flow_id").isNotNull())
-    order = F.struct("timestamp", *_ties(members))
-    base = members.groupBy(*FLOW).agg(
-        F.min("timestamp").alias("started_at"),
-        F.max("timestamp").alias("ended_at"),
-        F.count("*").alias("log_count"),
-        F.count_if("is_error").alias("error_count"),
-        F.min_by(
-            F.nullif("user_id", F.lit("")), F.when(F.col("user_id") != "", order)
-        ).alias("user_id"),
+    parts = flow_parts(flow_rows(rows)).filter(F.col("flow_id").isNotNull())
+    base = parts.groupBy(*FLOW).agg(
+        F.min("first_at").alias("started_at"),
+        F.max("last_at").alias("ended_at"),
+        F.sum("logs").alias("log_count"),
+        F.sum("errors").alias("error_count"),
+        F.min("first_user").alias("_user"),
     )
-    services = flow_services(flows).groupBy(*FLOW).agg(
+    services = flow_services(parts).groupBy(*FLOW).agg(
         F.array_sort(F.collect_set("service")).alias("services")
     )
-    traces = flow_traces(rows).groupBy(*FLOW).agg(F.count("*").alias("trace_count"))
+    traces = parts.filter("trace_id <> ''").select(*FLOW, "trace_id").distinct()
+    counted = traces.groupBy(*FLOW).agg(F.count("*").alias("trace_count"))
     return (
         base.join(services, FLOW, "left")
-        .join(traces, FLOW, "left")
+        .join(counted, FLOW, "left")
         .select(
             F.col("flow_id").alias("id"),
             F.col("flow_kind").alias("kind"),
-            F.coalesce("user_id", F.lit("")).alias("user_id"),
+            F.coalesce(F.col("_user.user_id"), F.lit("")).alias("user_id"),
             F.coalesce("trace_count", F.lit(0)).alias("trace_count"),
             "services",
             "started_at",

@@ -84,7 +84,7 @@ def validate_records(spark, sf):
         F.when(case == 0, " ").when(case == 1, F.expr("CAST(ts_millis AS STRING)")).otherwise(F.col("raw_ts")).alias("timestamp"),
         F.when(case == 2, "verbose").otherwise(F.col("raw_level")).alias("level"),
         F.when(case == 3, " \t\n").otherwise(F.col("message")).alias("message"),
-        F.concat(added, F.substring("raw_fields", F.lit(2), F.length("raw_fields"))).alias("fields"),
+        value_map(F.concat(added, F.substring("raw_fields", F.lit(2), F.length("raw_fields")))).alias("fields"),
     )
     rows = fx.records(spark, sf).withColumn("record", record)
     return rows.select("event_id", admission.record_error(F.col("record")).alias("reason"))

@@ -10,7 +10,6 @@ from logloom.functions.text import let
 from logloom.functions.timefns import as_datetime
 from logloom.limits import DEFAULT, Limits, RequestError
 from logloom.operators.binding import bind
-from logloom.schemas import RECORD
 
 # fixed values: keys of a batch and of a record
 BATCH_TEXT = ["schema_version", "service", "env", "source"]
@@ -66,7 +65,7 @@ def _decoded_record(record: Column) -> Column:
         bad = bad | (~_is_null(fields) & _object(fields).isNull())
         return F.struct(
             *[_text(members, n).alias(n) for n in RECORD_TEXT],
-            F.when(~_is_null(fields), F.to_json(fields)).alias("fields"),
+            F.when(~_is_null(fields), _object(fields)).alias("fields"),
             F.coalesce(bad, F.lit(True)).alias("bad"),
         )
 
@@ -74,7 +73,8 @@ def _decoded_record(record: Column) -> Column:
 
 
 def decode_batches(raw: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Add schema_version, service, env, source, logs and `decode_error`.
+    """Add schema_version, service, env, source, logs and `decode_error`. The fields
+    of a record are a map of typed values here; admission turns them into text.
 
     The body must be exactly one JSON object with known keys and the right types;
     anything else is an error, never an exception.
@@ -101,7 +101,7 @@ def decode_batches(raw: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     return decoded.select(
         *[F.col(c) for c in raw.columns],
         *[F.when(usable, _text(doc, n)).alias(n) for n in BATCH_TEXT],
-        F.when(usable, records).cast(f"array<{RECORD}>").alias("logs"),
+        F.when(usable, records).alias("logs"),
         "body_bytes",
         "decode_error",
     )
