@@ -28,7 +28,9 @@ def retry_delay_ms(
     top = max_ms if max_ms >= base else MAX_DELAY_MS
     doublings = F.least(F.greatest(attempt.cast("bigint") - 1, F.lit(0)), F.lit(40))
     delay = F.least(F.lit(float(base)) * F.pow(F.lit(2.0), doublings), F.lit(float(top))).cast("bigint")
-    jitter = F.pmod(delivery_id.cast("bigint") * 31 + attempt.cast("bigint") * 17, F.lit(201)) - 100
+    # reduced before multiplying: ids may use all 64 bits
+    small_id, small_try = (F.pmod(c.cast("bigint"), F.lit(201)) for c in (delivery_id, attempt))
+    jitter = F.pmod(small_id * 31 + small_try * 17, F.lit(201)) - 100
     # nanoseconds, truncated towards zero like integer division
     step_ns = F.floor(delay * F.lit(1_000_000) / 10)
     offset_ns = F.when(jitter >= 0, F.floor(jitter * step_ns / 100)).otherwise(

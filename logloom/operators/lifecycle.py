@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.hashing import stable_id
-from logloom.functions.timefns import instant
+from logloom.functions.timefns import instant, plus_seconds
+from logloom.operators.skew import lookup_join
 
 KEY = ["rule_id", "dedupe_key"]
 
@@ -68,47 +69,48 @@ def lifecycle(
     """Events of all keys over a run of ticks, folded with windows.
 
     `triggers` has one row per (rule_id, group_key, tick) that fired. Every rule
-    counts as evaluated at every tick. Windows hold one key's ticks, a number set
-    by the time range, not by the volume of logs.
+    counts as evaluated at every tick, so a key resolves one step after the last
+    tick of an episode. Only fired ticks are read; a window holds those of one key,
+    a number set by the time range and not by the volume of logs.
     """
-    fired = _by_key(triggers).select(*KEY, "tick", "match_count", "metric_value")
-    step = F.expr(f"interval {int(step_seconds)} seconds")
-    axis = F.explode(F.sequence(instant(first), instant(last), step)).alias("tick")
-    grid = fired.select(*KEY).distinct().select(*KEY, axis)
     facts = rules.select(
         "rule_id", "cooldown_seconds", "rule_name", "severity", "kind", "threshold",
         "window_seconds", "percentile", "value_field", "tenant_id",
     )
-    states = (
-        grid.join(fired.withColumn("fired", F.lit(True)), [*KEY, "tick"], "left")
-        .join(facts, "rule_id")
-        .withColumn("fired", F.coalesce("fired", F.lit(False)))
-    )
+    fired = _by_key(triggers).filter(F.col("tick").between(instant(first), instant(last)))
+    fired = lookup_join(fired.select(*KEY, "tick", "match_count", "metric_value"), facts, ["rule_id"])
     order = Window.partitionBy(*KEY).orderBy("tick")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
+    through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follows = F.coalesce(F.lag("tick").over(order) == plus_seconds("tick", -step_seconds), F.lit(False))
+    goes_on = F.coalesce(F.lead("tick").over(order) == plus_seconds("tick", step_seconds), F.lit(False))
     folded = (
-        states.withColumn("_was", F.coalesce(F.lag("fired").over(order), F.lit(False)))
-        .withColumn("_start", F.when(F.col("fired") & ~F.col("_was"), F.col("tick")))
+        fired.withColumn("_start", F.when(~follows, F.col("tick")))
+        .withColumn("_ends", ~goes_on)
         .withColumn("_earlier", F.max("_start").over(before))
+        .withColumn("episode_start", F.max("_start").over(through))
     )
     gap = F.unix_seconds("_start") - F.unix_seconds("_earlier")
     cooling = (F.col("cooldown_seconds") > 0) & (gap < F.col("cooldown_seconds"))
-    event = (
-        F.when(
-            F.col("_start").isNotNull(),
-            F.when(F.coalesce(cooling, F.lit(False)), "suppressed").otherwise("triggered"),
+    opened = F.when(
+        F.col("_start").isNull() | F.coalesce(cooling, F.lit(False)), "suppressed"
+    ).otherwise("triggered")
+
+    def event(kind: Column, status: str, at: Column, count: Column, metric: Column) -> Column:
+        return F.struct(
+            kind.alias("event_type"), F.lit(status).alias("status"), at.alias("tick"),
+            count.alias("match_count"), metric.alias("metric_value"),
         )
-        .when(F.col("fired"), "suppressed")
-        .when(F.col("_was"), "resolved")
-    )
-    through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        folded.withColumn("event_type", event)
-        .withColumn("episode_start", F.max("_start").over(through))
-        .filter(F.col("event_type").isNotNull())
-        .withColumn("status", F.when(F.col("event_type") == "resolved", "resolved").otherwise("firing"))
-        .drop("_was", "_start", "_earlier", "fired")
+
+    closing = plus_seconds("tick", step_seconds)
+    firing = event(opened, "firing", F.col("tick"), F.col("match_count"), F.col("metric_value"))
+    resolved = event(
+        F.lit("resolved"), "resolved", closing, F.lit(None).cast("bigint"), F.lit(None).cast("double")
     )
+    closes = F.col("_ends") & (closing <= instant(last))
+    pair = F.when(closes, F.array(firing, resolved)).otherwise(F.array(firing))
+    kept = [c for c in fired.columns if c not in ("tick", "match_count", "metric_value")]
+    return folded.select(*kept, "episode_start", F.inline(pair))
 
 
 def instances_of(events: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from logloom.functions.jsonfields import NUMERIC, numeric_text, text_map
 from logloom.functions.text import contains_ignore_case, trim_all
 from logloom.functions.timefns import instant, plus_seconds
 from logloom.operators.quantiles import quantile_of_counts
+from logloom.operators.search import in_scope, newest_first
 from logloom.operators.skew import lookup_join
 from logloom.session import cut_lineage
 
@@ -145,6 +146,12 @@ def runnable(compiled: DataFrame) -> DataFrame:
     return compiled.filter(F.col("rule_error").isNull()).drop("rule_error")
 
 
+def load_rules(rules: DataFrame, services: DataFrame) -> DataFrame:
+    """Active rules that can run, compiled and stored once, so that the plans that
+    use them (several times each) start from a small table."""
+    return cut_lineage(runnable(compile_rules(active_rules(rules, services))))
+
+
 def target_value(target: Column, row: str, fields: Column) -> Column:
     """Value of a log row by target name; a missing field prints as `<nil>`."""
     name = trim_all(target)
@@ -283,6 +290,33 @@ def _counted(matches: DataFrame, extra: list[str]) -> DataFrame:
     )
 
 
+def alert_records(
+    logs: DataFrame,
+    tenant_id: int,
+    start,
+    end,
+    service: str = "",
+    environment: str = "",
+    level: str = "",
+    fingerprint: str = "",
+    limit: int | None = None,
+) -> DataFrame:
+    """Rows one rule's explicit scope selects, newest first; a cap is optional."""
+    rows = in_scope(logs, tenant_id, start, end)
+    wanted = {
+        "service": service.strip(),
+        "environment": environment.strip(),
+        "level": level.strip().lower(),
+        "fingerprint": fingerprint.strip(),
+    }
+    for name, value in wanted.items():
+        if value:
+            rows = rows.filter(F.col(name) == value)
+    if limit is None:
+        return rows
+    return rows.orderBy(*newest_first(rows)).limit(limit)
+
+
 def rule_anchors(logs: DataFrame, rules: DataFrame) -> DataFrame:
     """Newest row each rule was loaded for, matched or not: (rule_id, anchor).
 

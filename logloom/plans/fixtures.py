@@ -145,6 +145,33 @@ MANY_RULES: Projection = [
     ("CASE c_custkey % 6 WHEN 0 THEN 'disabled' WHEN 1 THEN 'deleted' ELSE 'active' END", "status"),
 ]
 
+# one change to a rule per order
+RULE_CHANGES: Projection = [
+    ("o_custkey", "rule_id"),
+    ("o_custkey % 3 + 1", "tenant_id"),
+    ("o_orderkey", "seq"),
+    (
+        "CASE WHEN o_orderkey % 41 = 0 THEN 'delete' WHEN o_orderkey % 4 = 0 THEN 'create' ELSE 'patch' END",
+        "action",
+    ),
+    (
+        "CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 10 = 1 THEN concat('svc-', CAST(o_orderkey % 30 AS STRING)) END",
+        "service",
+    ),
+    ("CASE WHEN o_orderkey % 4 = 0 THEN 'prod' END", "environment"),
+    ("CASE WHEN o_orderkey % 11 = 0 THEN 'bad level' ELSE 'Error' END", "log_level"),
+    ("CAST(NULL AS STRING)", "fingerprint"),
+    ("concat(' rule ', CAST(o_orderkey AS STRING), ' ')", "name"),
+    ("'count_threshold'", "rule_type"),
+    ("CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 = 1 THEN lower(o_orderpriority) END", "severity"),
+    ("CAST(NULL AS STRING)", "filter_json"),
+    ("CASE WHEN o_orderkey % 5 = 0 THEN '[\"host\"]' END", "group_by"),
+    ("CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 7 = 1 THEN o_orderkey % 900 - 20 END", "window_seconds"),
+    ("CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 9 = 1 THEN CAST(o_orderkey % 50 AS STRING) END", "threshold"),
+    ("CASE WHEN o_orderkey % 8 = 0 THEN 0 WHEN o_orderkey % 8 = 4 THEN 120 END", "cooldown_seconds"),
+    ("CASE WHEN o_orderkey % 13 = 0 THEN 'DISABLED' END", "status"),
+]
+
 # one API request per order; all orders of a day arrive in the same second
 API_REQUESTS: Projection = [
     ("o_orderkey", "request"),
@@ -168,6 +195,7 @@ SQL = {
     "many_services": _select(MANY_SERVICES, "supplier"),
     "many_rules": _select(MANY_RULES, "customer"),
     "api_requests": _select(API_REQUESTS, "orders"),
+    "rule_changes": _select(RULE_CHANGES, "orders"),
 }
 
 
@@ -225,6 +253,10 @@ def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _apply(table(spark, sf_dir, "customer"), MANY_RULES)
 
 
+def rule_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _apply(table(spark, sf_dir, "orders"), RULE_CHANGES)
+
+
 def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _apply(table(spark, sf_dir, "orders"), API_REQUESTS)
     return rows.withColumn("received_at", F.col("received_at").cast("timestamp"))
