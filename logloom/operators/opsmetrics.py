@@ -99,15 +99,15 @@ def trailing_rate(df: DataFrame, groups: list[str], time: str, window_seconds: i
     """Events per second over the trailing window, at every minute the window covers.
 
     Events are reduced to one row per (group, minute) before minutes are spread
-    over the windows that contain them. A window ends at `at` and excludes it.
+    over the windows that contain them. A window ends at `window_end` and excludes it.
     """
     amount = F.count("*") if weight is None else F.sum(weight)
     minutes = df.groupBy(*groups, bucket_start(time, "minute").alias("_minute")).agg(amount.alias("_n"))
     steps = window_seconds // 60
     spread = minutes.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     return (
-        spread.withColumn("at", plus_seconds("_minute", F.col("_k") * 60))
-        .groupBy(*groups, "at")
+        spread.withColumn("window_end", plus_seconds("_minute", F.col("_k") * 60))
+        .groupBy(*groups, "window_end")
         .agg((F.sum("_n") / window_seconds).alias(output))
     )
 
