@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from logloom.functions.jsonfields import field_text
 from logloom.functions.timefns import as_datetime, instant, plus_seconds
 from logloom.operators.integrity import reconcile_counts
-from logloom.schemas import LOG_COLUMNS
+from logloom.schemas import LOG_COLUMNS, LOGS
 
 RETENTION_DAYS = 30
+# columns the first schema version did not have
+LATER_COLUMNS = ["message_template", "template_id"]
 # fixed values: columns with Bloom filters for point lookups
 BLOOM_COLUMNS = ["ingest_id", "trace_id", "error_code"]
 
@@ -46,18 +48,26 @@ def write_logs(logs: DataFrame, path: str, mode: str = "append", partitions: tup
     writer.partitionBy("event_date", *partitions).parquet(path)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The table with columns of all schema versions, later ones defaulting to ''."""
-    return with_log_columns(spark.read.option("mergeSchema", "true").parquet(path))
+def read_logs(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
+    """The table with the columns of all schema versions, later ones defaulting to ''.
+
+    The schema is given, so no file footer is read for planning; files written
+    before a column existed yield NULL for it. `extra` names further columns.
+    """
+    schema = f"{LOGS}, error_code string, event_date date" + (f", {extra}" if extra else "")
+    return with_log_columns(spark.read.schema(schema).parquet(path))
 
 
 def with_log_columns(logs: DataFrame) -> DataFrame:
-    """Additive schema change: missing text columns are added, NULLs become ''."""
+    """Additive schema change: columns of later schema versions default to ''.
+
+    Only those are wrapped; a filter on a wrapped column cannot reach the file scan.
+    """
     for name in LOG_COLUMNS:
-        if name in ("timestamp", "tenant_id", "raw_size_bytes"):
-            continue
-        value = F.coalesce(F.col(name), F.lit("")) if name in logs.columns else F.lit("")
-        logs = logs.withColumn(name, value)
+        if name not in logs.columns:
+            logs = logs.withColumn(name, F.lit(""))
+        elif name in LATER_COLUMNS:
+            logs = logs.withColumn(name, F.coalesce(F.col(name), F.lit("")))
     return logs
 
 

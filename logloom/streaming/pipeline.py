@@ -5,8 +5,10 @@ Two checkpointed queries, connected by the durable `raw_events` table:
 * `admit_stream`: JSON text -> decode, validate, authorise -> raw_events or rejects
 * `process_stream`: raw_events -> dedupe, normalise -> logs, dead letters, alert state
 
-Writes of a micro-batch go under `_batch=<id>` with dynamic partition overwrite, so
-a repeated micro-batch replaces its own output and nothing is stored twice.
+Writes of a micro-batch go under `_batch=<query>-<id>` with dynamic partition
+overwrite, so a repeated micro-batch replaces its own output and nothing is stored
+twice. A replay is a query of its own; stop the live query while it runs, since both
+move the same alert state on.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logloom.functions.text import canon_tag
 from logloom.limits import DEFAULT, Limits
 from logloom.operators import admission, normalize
 from logloom.operators.binding import bind
 from logloom.operators.lifecycle import reconcile
 from logloom.operators.rules import compile_rules, evaluate_newest, runnable
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
+from logloom.session import cut_lineage
 from logloom.sources.batches import decode_batches, message_id
-from logloom.sources.logs_table import laid_out, with_log_columns, writer_options
+from logloom.sources.logs_table import laid_out, read_logs, writer_options
 
 # fixed values: delivery policy
 DUPLICATE_WINDOW = "2 minutes"
@@ -131,9 +135,14 @@ def drop_repeats(stream: DataFrame, received: str = "received") -> DataFrame:
 # --- storage
 
 
-def _write(df: DataFrame, path: str, batch_id: int, by: tuple[str, ...] = ()) -> None:
+def batch_key(query: str, batch_id: int) -> str:
+    """Micro-batch ids restart with every new query, so the query name belongs to them."""
+    return f"{query}-{batch_id:09d}"
+
+
+def _write(df: DataFrame, path: str, batch: str, by: tuple[str, ...] = ()) -> None:
     (
-        df.withColumn("_batch", F.lit(batch_id).cast("bigint"))
+        df.withColumn("_batch", F.lit(batch))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .options(**writer_options())
@@ -147,16 +156,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def _read_before(spark: SparkSession, path: str, schema: str, batch_id: int | None = None) -> DataFrame:
-    """Rows written by earlier micro-batches; empty if there are none yet."""
+def _read_others(spark: SparkSession, path: str, schema: str, batch: str | None = None) -> DataFrame:
+    """Rows written by other micro-batches; empty if there are none yet."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], f"{schema}, _batch bigint")
-    rows = spark.read.schema(f"{schema}, _batch bigint").parquet(path)
-    return rows if batch_id is None else rows.filter(F.col("_batch") < batch_id)
+        return spark.createDataFrame([], f"{schema}, _batch string")
+    rows = spark.read.schema(f"{schema}, _batch string").parquet(path)
+    return rows if batch is None else rows.filter(F.col("_batch") != batch)
 
 
 def read_stored_logs(spark: SparkSession, tables: Tables) -> DataFrame:
-    return with_log_columns(spark.read.parquet(tables.logs))
+    return read_logs(spark, tables.logs, "processed_at timestamp, _batch string")
+
+
+def read_alert_events(spark: SparkSession, tables: Tables) -> DataFrame:
+    schema = f"{STATE}, event_type string, match_count bigint, metric_value double, created_at timestamp"
+    return _read_others(spark, tables.alert_events, schema)
+
+
+def read_alert_state(spark: SparkSession, tables: Tables, batch: str | None = None) -> DataFrame:
+    """The newest snapshot (one row per rule and key), leaving out that of `batch`."""
+    snapshots = _read_others(spark, tables.alert_state, f"{STATE}, written_at timestamp", batch)
+    last = snapshots.agg(F.max(F.struct("written_at", "_batch"))).first()[0]
+    return snapshots.filter(F.col("_batch") == ("" if last is None else last["_batch"])).drop(
+        "_batch", "written_at"
+    )
 
 
 # --- admission stream
@@ -197,14 +220,15 @@ def admit_stream(
     (text) and either `tenant_id` or the columns `authorise` needs."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        key = batch_key("admit", batch_id)
         batch.persist()
         try:
             events, rejected = admit(batch, F.col("received_at"), authorise, limits)
             numbered = events.withColumn("msg_id", message_id()).withColumn(
                 "stored_at", F.current_timestamp()
             )
-            _write(numbered, tables.raw_events, batch_id)
-            _write(rejected, tables.rejects, batch_id)
+            _write(numbered, tables.raw_events, key)
+            _write(rejected, tables.rejects, key)
         finally:
             batch.unpersist()
 
@@ -220,7 +244,7 @@ def admit_stream(
 
 
 def raw_event_stream(spark: SparkSession, tables: Tables, max_files: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(f"{RAW_EVENTS}, msg_id string, stored_at timestamp, _batch bigint")
+    reader = spark.readStream.schema(f"{RAW_EVENTS}, msg_id string, stored_at timestamp, _batch string")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(tables.raw_events)
@@ -229,30 +253,31 @@ def raw_event_stream(spark: SparkSession, tables: Tables, max_files: int | None
 def process_batch(
     spark: SparkSession,
     events: DataFrame,
-    batch_id: int,
+    batch: str,
     tables: Tables,
     rules: DataFrame | None = None,
 ) -> None:
-    """Store one micro-batch: dead letters, log rows, batch keys, alert state."""
+    """Store one micro-batch: dead letters, log rows, batch keys, alert state.
+    `batch` names it; the same name again replaces the first try."""
     classified = classify(events).persist()
     try:
-        _write(distinct_letters(refused_letters(classified)), tables.dead_letters, batch_id)
-        stored = _read_before(spark, tables.ingested, "tenant_id bigint, ingest_id string", batch_id)
+        _write(distinct_letters(refused_letters(classified)), tables.dead_letters, batch)
+        stored = _read_others(spark, tables.ingested, "tenant_id bigint, ingest_id string", batch)
         good = classified.filter("reason IS NULL").withColumn("ingest_id", F.col("request_id"))
         fresh = not_yet_stored(good, stored).drop("ingest_id").persist()
         try:
             rows = normalize.normalize_batches(fresh).drop("position")
             _write(
                 laid_out(rows.withColumn("processed_at", F.current_timestamp())),
-                tables.logs, batch_id, ("event_date",),
+                tables.logs, batch, ("event_date",),
             )
             # the keys are written last: until then a repeat stores the batch again
             # under the same `_batch`, replacing the first try
             _write(
-                fresh.select("tenant_id", F.col("request_id").alias("ingest_id")), tables.ingested, batch_id
+                fresh.select("tenant_id", F.col("request_id").alias("ingest_id")), tables.ingested, batch
             )
             if rules is not None:
-                update_alerts(spark, fresh, batch_id, tables, rules)
+                update_alerts(spark, fresh, batch, tables, rules)
         finally:
             fresh.unpersist()
     finally:
@@ -260,33 +285,33 @@ def process_batch(
 
 
 def update_alerts(
-    spark: SparkSession, fresh: DataFrame, batch_id: int, tables: Tables, rules: DataFrame
+    spark: SparkSession, fresh: DataFrame, batch: str, tables: Tables, rules: DataFrame
 ) -> None:
     """Evaluate the rules a micro-batch touches over the stored logs of their window
     and move the alert state on by one step. The state has one row per (rule, key)
     and is kept as a snapshot per micro-batch."""
-    compiled = runnable(compile_rules(rules))
+    compiled = cut_lineage(runnable(compile_rules(rules)))
     touched = fresh.select(
-        "tenant_id", F.col("service").alias("_service"), F.col("env").alias("_env")
+        F.col("tenant_id").alias("_tenant"),
+        canon_tag("service").alias("_service"),
+        canon_tag("env").alias("_env"),
     ).distinct()
-    in_scope = F.col("scope_service").isNull() | (
-        (F.col("scope_service") == F.col("_service")) & (F.col("scope_environment") == F.col("_env"))
+    in_scope = (F.col("tenant_id") == F.col("_tenant")) & (
+        F.col("scope_service").isNull()
+        | ((F.col("scope_service") == F.col("_service")) & (F.col("scope_environment") == F.col("_env")))
     )
-    evaluated = compiled.join(touched, "tenant_id").filter(in_scope).select(
-        *[F.col(c) for c in compiled.columns if c != "tenant_id"], "tenant_id"
-    ).dropDuplicates(["rule_id"])
+    evaluated = compiled.join(touched, in_scope, "left_semi")
     newest = fresh.agg(F.max(normalize.parse_instant("received_at"))).first()[0]
     if newest is None:
         return
     triggers = evaluate_newest(read_stored_logs(spark, tables), evaluated)
-    before = _read_before(spark, tables.alert_state, STATE, batch_id)
-    last = before.agg(F.max("_batch")).first()[0]
-    current = before.filter(F.col("_batch") == (-1 if last is None else last)).drop("_batch")
+    current = read_alert_state(spark, tables, batch)
     step = reconcile(triggers, current, evaluated, newest).persist()
     try:
         changes = step.filter("event_type IS NOT NULL").withColumn("created_at", F.lit(newest))
-        _write(changes, tables.alert_events, batch_id)
-        _write(step.drop("event_type", "match_count", "metric_value"), tables.alert_state, batch_id)
+        _write(changes, tables.alert_events, batch)
+        snapshot = step.drop("event_type", "match_count", "metric_value")
+        _write(snapshot.withColumn("written_at", F.current_timestamp()), tables.alert_state, batch)
     finally:
         step.unpersist()
 
@@ -314,7 +339,8 @@ def process_stream(
         ).drop("received")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch.sparkSession, batch, batch_id, tables, rules() if rules else None)
+        key = batch_key(name, batch_id)
+        process_batch(batch.sparkSession, batch, key, tables, rules() if rules else None)
 
     return (
         source.writeStream.foreachBatch(store)
