@@ -78,7 +78,7 @@ def lifecycle(
         "window_seconds", "percentile", "value_field", "tenant_id",
     )
     fired = _by_key(triggers).filter(F.col("tick").between(instant(first), instant(last)))
-    fired = lookup_join(fired.select(*KEY, "tick", "match_count", "metric_value"), facts, ["rule_id"])
+    fired = lookup_join(fired.select(*KEY, "tick", "match_count", "metric_value"), facts, ["rule_id"], sized_by=rules)
     order = Window.partitionBy(*KEY).orderBy("tick")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     through = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)

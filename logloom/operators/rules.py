@@ -267,7 +267,7 @@ def _measured(counts: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame
         "rule_id", "tenant_id", "rule_name", "rule_type", "severity", "kind", "threshold",
         "window_seconds", "percentile", "value_field", "cooldown_seconds",
     )
-    measured = lookup_join(plain.unionByName(ranked), facts, ["rule_id"])
+    measured = lookup_join(plain.unionByName(ranked), facts, ["rule_id"], sized_by=rules)
     rate = F.col("match_count") / F.col("window_seconds")
     metric = (
         F.when(F.col("kind") == "rate", rate)
@@ -327,7 +327,7 @@ def rule_anchors(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
     scopes = rules.select("rule_id", "tenant_id", "scope_service", "scope_environment")
     return (
-        lookup_join(newest, scopes, ["tenant_id"], scope_condition())
+        lookup_join(newest, scopes, ["tenant_id"], scope_condition(), sized_by=rules)
         .groupBy("rule_id")
         .agg(F.max("newest").alias("anchor"))
     )
@@ -364,7 +364,8 @@ def evaluate_at(logs: DataFrame, rules: DataFrame, at: datetime | str) -> DataFr
     inside = (F.col("l.timestamp") >= F.col("r.since")) & (F.col("l.timestamp") < instant(at))
     if "event_date" in logs.columns:
         logs = _recent_days(logs, windowed)
-    return triggered(_measured(_counted(match_rules(logs, windowed, inside), []), ["group_key"], rules))
+    matches = match_rules(logs, windowed, inside, sized_by=rules)
+    return triggered(_measured(_counted(matches, []), ["group_key"], rules))
 
 
 def evaluate_ticks(
@@ -377,7 +378,7 @@ def evaluate_ticks(
     run before runs are spread to single ticks.
     """
     windowed = rules.filter(F.col("window_seconds") > 0)
-    matches = match_rules(logs, windowed)
+    matches = match_rules(logs, windowed, sized_by=rules)
     origin, end = F.unix_micros(instant(first)), F.unix_micros(instant(last))
     step = F.lit(step_seconds * 1_000_000)
     since = F.unix_micros("timestamp") - origin

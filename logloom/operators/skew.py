@@ -26,8 +26,11 @@ def row_salt(df: DataFrame, buckets: int) -> Column:
 
 
 def fits(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> bool:
-    """Bounded size check: reads at most `max_rows` + 1 rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Bounded size check: reads at most `max_rows` + 1 rows, once per table object."""
+    known = df.__dict__.setdefault("_row_bounds", {})
+    if max_rows not in known:
+        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+    return known[max_rows]
 
 
 def lookup_join(

@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on tables that come as fewer files than there are cores, like the
+    samples, which are one file each. Larger tables are left as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _select(projection: Projection, source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {a}" for e, a in projection) + f" FROM {source}"
 
@@ -206,7 +213,7 @@ def with_ctes(body: str, *names: str, **more: str) -> str:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply(table(spark, sf_dir, "events"), LOGS)
+    return _apply(spread(table(spark, sf_dir, "events")), LOGS)
 
 
 def templated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,7 +349,7 @@ SQL["records"] = _select(RECORDS, "events")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply(table(spark, sf_dir, "events"), RECORDS)
+    return _apply(spread(table(spark, sf_dir, "events")), RECORDS)
 
 
 def _batched(rows: DataFrame, item) -> DataFrame:

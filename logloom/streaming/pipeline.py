@@ -26,6 +26,7 @@ from logloom.operators import admission, normalize
 from logloom.operators.binding import bind
 from logloom.operators.lifecycle import reconcile
 from logloom.operators.rules import compile_rules, evaluate_newest, runnable
+from logloom.operators.skew import lookup_join
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
 from logloom.session import cut_lineage
 from logloom.sources.batches import decode_batches, message_id
@@ -122,9 +123,15 @@ def distinct_letters(letters: DataFrame) -> DataFrame:
 
 
 def not_yet_stored(batches: DataFrame, stored: DataFrame) -> DataFrame:
-    """Distinct batches whose (tenant_id, ingest_id) the sink does not hold."""
+    """Distinct batches whose (tenant_id, ingest_id) the sink does not hold.
+
+    The key table grows with the sink, a micro-batch does not: its keys are sent to
+    the key table (broadcast if few), and only the hits come back.
+    """
     key = ["tenant_id", "ingest_id"]
-    return batches.dropDuplicates(key).join(stored.select(*key), key, "left_anti")
+    once = batches.dropDuplicates(key)
+    hits = lookup_join(stored.select(*key), once.select(*key), key, how="left_semi").distinct()
+    return once.join(hits, key, "left_anti")
 
 
 def drop_repeats(stream: DataFrame, received: str = "received") -> DataFrame:
