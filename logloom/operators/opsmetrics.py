@@ -84,14 +84,17 @@ def latency_summary(df: DataFrame, groups: list[str], value: str, ok: Column) ->
     wide = ranked.groupBy(*groups).agg(
         *[F.max(F.when(F.col("_p") == p, F.col("_q"))).alias(f"latency_p{p}") for p in SUMMARY_PERCENTS]
     )
+    # both parts hold one row per group: put them side by side with one aggregate
+    both = counts.unionByName(wide, allowMissingColumns=True)
+    names = [c for c in both.columns if c not in groups]
     failures = F.col("requests") - F.col("successes")
     rate = F.when(F.col("requests") > 0, failures / F.col("requests")).otherwise(F.lit(1.0))
-    whole = groups or ["_one"]
-    if not groups:  # both sides hold a single row
-        counts, wide = (d.withColumn("_one", F.lit(1)) for d in (counts, wide))
-    result = counts.join(wide, whole, "left").withColumn("failures", failures)
-    result = result.withColumn("error_rate", rate)
-    return result if groups else result.drop("_one")
+    return (
+        both.groupBy(*groups)
+        .agg(*[F.max(c).alias(c) for c in names])
+        .withColumn("failures", failures)
+        .withColumn("error_rate", rate)
+    )
 
 
 def trailing_rate(df: DataFrame, groups: list[str], time: str, window_seconds: int = 300,
