@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -49,8 +50,6 @@ def _group_fields(values) -> tuple[str, ...]:
 
 
 def is_value_field(name: str) -> bool:
-    import re
-
     if name == "raw_size_bytes":
         return True
     pattern = SAFE_KEY.replace(r"\z", r"\Z")

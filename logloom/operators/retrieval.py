@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logloom.functions.vectors import cosine, has_all_tokens, hybrid_score
 from logloom.limits import DEFAULT, RequestError
 from logloom.operators.search import newest_first, oldest_first
-from logloom.operators.skew import lookup_join
+from logloom.operators.skew import SALTS, lookup_join, row_salt
 from logloom.schemas import LOG_COLUMNS
 
 EMBEDDING_KEY = ["tenant_id", "template_id", "model", "dims"]
@@ -116,8 +116,6 @@ def hybrid_search_many(
     """Best k templates for each row of questions(question_id, tenant_id, vector,
     question). Scores are cut to k inside content-based sub-groups first, so one
     tenant's templates are never ranked in one task."""
-    from logloom.operators.skew import SALTS, row_salt
-
     rows = embeddings.filter((F.col("model") == model) & (F.col("dims") == dims))
     pairs = lookup_join(rows, questions, ["tenant_id"])
     score = hybrid_score(

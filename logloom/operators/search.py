@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -16,8 +17,6 @@ from logloom.schemas import LOG_COLUMNS
 
 
 def safe_filter(value: str | None, name: str) -> str:
-    import re
-
     value = (value or "").strip()
     if value and not re.match(SAFE_KEY.replace(r"\z", r"\Z"), value):
         raise RequestError(f"{name} contains unsupported characters")

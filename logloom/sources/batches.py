@@ -107,7 +107,7 @@ def decode_batches(raw: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     )
 
 
-def message_id(columns: list[str] | None = None) -> Column:
+def message_id() -> Column:
     """Queue id of a raw event: its fingerprint, else its request id."""
     return F.coalesce(F.nullif("fingerprint", F.lit("")), F.col("request_id"))
 
