@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import quality, secrets
+from logloom.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,47 @@ def op1(spark, sf_dir):
 @query("op2_secret_scan")
 def op2(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op5_decontaminate")
+def op5(spark, sf_dir):
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_piece_sampling")
+def op6(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language")
+def op7(spark, sf_dir):
+    """All documents (declared language, source as host) and all pages (markup, address, host)."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    rows = docs.select(
+        "doc_id", none.cast("bigint").alias("page_id"), "text", F.col("lang").alias("declared"),
+        none.cast("string").alias("address"), F.col("source").alias("host"),
+    ).unionByName(pages.select(
+        none.cast("bigint").alias("doc_id"), "page_id", language.markup_text(F.col("html")).alias("text"),
+        language.markup_language(F.col("html")).alias("declared"),
+        language.address_language(F.col("url")).alias("address"), language.host_of(F.col("url")).alias("host"),
+    ))
+    model = language.train(docs, "doc_id", "text", "lang")
+    found = language.identify(
+        rows, model, text_col="text", declared=F.col("declared"), address=F.col("address"), host=F.col("host"))
+    return found.select("doc_id", "page_id", "language.*")
+
+
+@query("op8_license_scan")
+def op8(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_rotation", chat.ORACLE)
+def op9(spark, sf_dir):
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op10_html_text")
+def op10(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
