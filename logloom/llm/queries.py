@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, secrets
+from logloom.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+@query("op4_suffix_dedup")
+def op4(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query("op5_decontaminate")
 def op5(spark, sf_dir):
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
