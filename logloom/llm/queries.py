@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, html_text, language, licenses, pieces, quality, secrets, suffix_dedup
+from logloom.llm import chat, decontaminate, html_text, language, licenses, near_dedup, pieces, quality, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,12 @@ def op2(spark, sf_dir):
     return secrets.secret_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+@query("op3_near_dedup")
+def op3(spark, sf_dir):
+    """Every document with the smallest id of its class of near duplicates."""
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 @query("op4_suffix_dedup")
 def op4(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))

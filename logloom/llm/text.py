@@ -63,3 +63,9 @@ def seeds(df: DataFrame, array: str, masks: Sequence[str], at: str, key: str) ->
     if len(hashes) == 1:
         return rows.withColumn(key, hashes[0])
     return rows.select("*", F.explode(F.array(*hashes)).alias(key))
+
+
+def row_keys(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of id and text, never null: together the key of a row's content."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(F.lit(n), F.col(id_col), text).alias(f"k{n}") for n in (1, 2)]
