@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.session import cut_lineage
+
 BUCKETS = 1 << 14
 CHUNK = 4_000_000  # bytes of text scored at once inside a batch
 EVIDENCE = 60.0  # trigrams a text counts for at most, so that other evidence keeps a say
@@ -223,8 +225,6 @@ def identify(
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(size)]
     # one pass over all texts gives the counts per host and declaration; the rest works on sums
     counted = thin.groupBy("host", "declared", "address").agg(*sums)
-    from logloom.session import cut_lineage
-
     counted = cut_lineage(counted)
     hosts = counted.groupBy("host").agg(*sums).withColumns({"domain": _domain(F.col("host")), "suffix": _suffix(F.col("host"))})
     priors = _smoothed(hosts, ("host", "domain", "suffix"), size)
@@ -245,7 +245,7 @@ def identify(
         mass = reduce(lambda a, b: a + b, left)
         prior = (left[k] + KAPPA * F.col(f"__{out}_p")[k]) / (mass + KAPPA)
         value = F.col(f"{out}.scores")[k] + F.log(F.coalesce(prior, F.lit(1.0 / size)))
-        for name, table in tables.items():
+        for name, table in ((n, t) for n, t in tables.items() if t):
             value = value + reduce(
                 lambda c, item: c.when(F.col(f"{out}.{name}") == item[0], F.lit(item[1][k])), table.items(), F  # noqa: B023
             ).otherwise(F.lit(0.0))
