@@ -435,7 +435,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     long_rows = rows.filter(F.length("data") >= length).select("k1", "k2", "data")
     found = long_rows.mapInArrow(grams, "gram long, k1 long, k2 long, place int")
     # a gram that occurs once can be in no repeated window
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # stored, so the join below has plain exchanges on both sides and hot grams can be split
+    often = cut_lineage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     places = found.join(often, "gram").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
     places = cut_lineage(places)  # used twice; numbers only
     # the same exchange of the texts serves both uses here and the last join
