@@ -9,7 +9,7 @@ from logloom.functions.text import as_col, is_safe_key, let, trim_all
 
 TEXT_MAP = "map<string,string>"
 VALUE_MAP = "map<string,variant>"
-ARRAY_DEPTH = 4
+STRING_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 NUMERIC = r"\A[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"
 
 # fixed values: spellings of the host and trace keys
@@ -95,24 +95,30 @@ def has_object(value: Column) -> Column:
 
     def test(text: Column) -> Column:
         # only arrays and objects need the strings taken out before looking for a brace
-        bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+        bare = F.regexp_replace(text, STRING_TOKEN, "")
         return text.rlike(r"\A[{\[]") & F.contains(bare, F.lit("{"))
 
     return let(F.to_json(value), test)
 
 
-def trimmed_value_json(value: Column, depth: int = ARRAY_DEPTH) -> Column:
-    """JSON text of a value with all strings trimmed, also inside arrays."""
-    kind = F.schema_of_variant(value)
-    text = F.when(kind == "STRING", json_string(trim_all(F.try_variant_get(value, "$", "string"))))
-    if depth > 0:
-        items = F.try_variant_get(value, "$", "array<variant>")
-        inner = F.transform(items, lambda item: trimmed_value_json(item, depth - 1))
-        text = text.when(
-            kind.startswith("ARRAY"),
-            F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")),
-        )
-    return F.coalesce(text.otherwise(F.to_json(value)), F.lit("null"))
+def trimmed_value_json(value: Column) -> Column:
+    """JSON text of a value with all strings trimmed, also inside arrays of any depth.
+
+    The string tokens of the JSON text are trimmed one by one; what stands between them stays.
+    """
+
+    def trimmed(token: Column) -> Column:
+        return json_string(trim_all(F.try_variant_get(F.parse_json(token), "$", "string")))
+
+    def rebuilt(text: Column) -> Column:
+        tokens = F.transform(F.regexp_extract_all(text, F.lit(STRING_TOKEN), F.lit(0)), trimmed)
+        between = F.split(text, STRING_TOKEN, -1)
+        return F.array_join(F.zip_with(between, tokens, lambda gap, token: F.concat(gap, F.coalesce(token, F.lit("")))), "")
+
+    def text_of(text: Column) -> Column:
+        return F.when(text.rlike(r'\A["\[]') & F.contains(text, F.lit('"')), rebuilt(text)).otherwise(text)
+
+    return F.coalesce(let(F.to_json(value), text_of), F.lit("null"))
 
 
 def fields_error(fields: Column) -> Column:
@@ -131,7 +137,7 @@ def fields_error(fields: Column) -> Column:
                 F.concat(
                     F.lit("fields["),
                     json_string(name),
-                    F.lit("]: unsupported field value type map[string]interface {}"),
+                    F.lit("]: unsupported field value type object"),
                 ),
             )
         )

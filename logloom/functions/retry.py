@@ -13,7 +13,6 @@ MAX_DELAY_MS = 1_800_000
 MAX_ATTEMPTS = 5
 LEASE_SECONDS = 120
 DELIVERY_BATCH = 50
-DELIVERY_BATCH_MAX = 500
 CHANNEL = "log"
 
 

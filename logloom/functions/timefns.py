@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -32,6 +33,8 @@ def instant(value: datetime | str) -> Column:
 
 def as_datetime(value: datetime | str) -> datetime:
     if isinstance(value, str):
+        if not re.match(RFC3339.replace(r"\z", r"\Z"), value.strip()):
+            raise ValueError(f"not an RFC3339 timestamp: {value!r}")
         value = datetime.fromisoformat(value.strip().replace("Z", "+00:00"))
     if value.tzinfo is None:
         value = value.replace(tzinfo=timezone.utc)

@@ -27,6 +27,9 @@ class Limits:
     batch_logs: int = 1000
     template_rows: int = 5
     incident_rows: int = 100
+    rule_page_max: int = 500
+    delivery_batch_max: int = 500
+    request_bytes: int = 64 * 1024
 
 
 DEFAULT = Limits()
@@ -42,6 +45,13 @@ UNBOUNDED = Limits(
     graph_rows_max=None,
     history_window=None,
     history_page_max=2**31 - 1,
+    analytics_groups=2**31 - 1,
+    identifier_chars=2**31 - 1,
+    batch_bytes=2**31 - 1,
+    batch_logs=2**31 - 1,
+    rule_page_max=2**31 - 1,
+    delivery_batch_max=2**31 - 1,
+    request_bytes=2**31 - 1,
 )
 
 

@@ -121,7 +121,6 @@ def list_rules(
     rule_id: int | None = None,
     limit=None,
     limits: Limits = DEFAULT,
-    most: int = 500,
 ) -> DataFrame:
     """Rules of a tenant that are not deleted, by id. Empty arguments do not filter."""
     named = services.select(
@@ -144,4 +143,4 @@ def list_rules(
         *[F.coalesce(c, empty).alias(c) for c in ("service", "environment", "log_level", "fingerprint")],
         "name", "rule_type", "severity", "window_seconds", "threshold", "cooldown_seconds", "status",
     )
-    return shown.orderBy("id").limit(positive(limit, limits.log_page, most, "limit"))
+    return shown.orderBy("id").limit(positive(limit, limits.log_page, limits.rule_page_max, "limit"))

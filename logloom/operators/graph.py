@@ -66,6 +66,8 @@ def capped(rows: DataFrame, limit=None, limits: Limits = DEFAULT) -> DataFrame:
     The windows run over at most limit + 1 rows.
     """
     top = positive(limit, limits.graph_rows, limits.graph_rows_max, "limit")
+    if top is None:
+        return rows.withColumn("truncated", F.lit(False))
     probe = rows.orderBy(*oldest_first(rows)).limit(top + 1).withColumn("_one", F.lit(1))
     whole = Window.partitionBy("_one")
     return (
@@ -79,6 +81,8 @@ def capped(rows: DataFrame, limit=None, limits: Limits = DEFAULT) -> DataFrame:
 def truncation(rows: DataFrame, limit=None, limits: Limits = DEFAULT) -> DataFrame:
     """record_count and truncated for a capped read."""
     top = positive(limit, limits.graph_rows, limits.graph_rows_max, "limit")
+    if top is None:
+        return rows.agg(F.count("*").alias("record_count"), F.lit(False).alias("truncated"))
     probe = rows.select("timestamp").limit(top + 1)
     return probe.agg(
         F.least(F.count("*"), F.lit(top)).alias("record_count"),

@@ -45,6 +45,17 @@ def alert_history(
     count = F.get_json_object(payload, "$.match_count")
     number = metric.try_cast("double")
     value = F.coalesce(F.when(number != 0, number), F.nullif(count, F.lit("")).try_cast("double"))
+    found = instances.drop("tenant_id").join(_rule_names(rules, tenant_id), "rule_id").filter(
+        (F.col("last_fired_at") >= instant(first)) & (F.col("first_fired_at") < instant(last))
+    )
+    if rule_id:
+        found = found.filter(F.col("rule_id") == rule_id)
+    if status:
+        found = found.filter(F.col("status") == status.lower())
+    # only events and deliveries of the chosen alerts are aggregated
+    chosen = found.select(F.col("id").alias("alert_instance_id"))
+    events = events.join(chosen, "alert_instance_id", "left_semi")
+    deliveries = deliveries.join(chosen, "alert_instance_id", "left_semi")
     fired = (
         events.filter(F.col("event_type").isin("triggered", "suppressed") & metric.isNotNull())
         .groupBy(F.col("alert_instance_id").alias("id"))
@@ -55,13 +66,6 @@ def alert_history(
             F.struct("status", "attempt_count", "last_error", "sent_at"), F.struct("updated_at", "id")
         ).alias("_d")
     )
-    found = instances.drop("tenant_id").join(_rule_names(rules, tenant_id), "rule_id").filter(
-        (F.col("last_fired_at") >= instant(first)) & (F.col("first_fired_at") < instant(last))
-    )
-    if rule_id:
-        found = found.filter(F.col("rule_id") == rule_id)
-    if status:
-        found = found.filter(F.col("status") == status.lower())
     full = (
         found.join(fired, "id", "left")
         .join(sent, "id", "left")

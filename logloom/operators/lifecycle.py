@@ -19,19 +19,21 @@ def _by_key(triggers: DataFrame) -> DataFrame:
 
 
 def reconcile(
-    triggers: DataFrame, instances: DataFrame, evaluated: DataFrame, at: datetime | str
+    triggers: DataFrame, instances: DataFrame, evaluated: DataFrame, at: datetime | str | None = None
 ) -> DataFrame:
     """Next state of every (rule, key) after one evaluation at `at`.
 
     instances: rule_id, dedupe_key, status, first_fired_at, last_fired_at,
-    resolved_at. evaluated: rule_id, cooldown_seconds of the rules that ran.
+    resolved_at. evaluated: rule_id, cooldown_seconds of the rules that ran, and
+    observed_at where rules were evaluated at times of their own.
     Rows without an event keep event_type NULL.
     """
-    now = instant(at)
     fired = _by_key(triggers).select(
         *KEY, "match_count", "metric_value", F.lit(True).alias("_fired")
     )
-    ran = evaluated.select("rule_id", F.col("cooldown_seconds").alias("_cooldown")).distinct()
+    seen = F.col("observed_at") if "observed_at" in evaluated.columns else instant(at)
+    ran = evaluated.select("rule_id", F.col("cooldown_seconds").alias("_cooldown"), seen.alias("_now")).distinct()
+    now = F.col("_now")
     both = (
         instances.join(fired, KEY, "full")
         .join(ran, "rule_id", "left")
@@ -60,6 +62,7 @@ def reconcile(
         event.alias("event_type"),
         "match_count",
         "metric_value",
+        *([now.alias("observed_at")] if "observed_at" in evaluated.columns else []),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions import retry
 from logloom.functions.hashing import stable_id
 from logloom.functions.timefns import instant, plus_seconds
+from logloom.limits import DEFAULT, Limits
 from logloom.operators.lifecycle import group_map
 from logloom.operators.skew import carry_forward, lookup_join
 
@@ -104,10 +105,11 @@ def due(
     at: datetime | str,
     batch_size: int = retry.DELIVERY_BATCH,
     lease_seconds: int = retry.LEASE_SECONDS,
+    limits: Limits = DEFAULT,
 ) -> DataFrame:
     """The next deliveries to send: due, or held by a worker past its lease.
-    `batch_size` is the feature (one worker batch, at most 500)."""
-    size = min(batch_size if batch_size > 0 else retry.DELIVERY_BATCH, retry.DELIVERY_BATCH_MAX)
+    `batch_size` is the feature (one worker batch, at most `limits.delivery_batch_max`)."""
+    size = min(batch_size if batch_size > 0 else retry.DELIVERY_BATCH, limits.delivery_batch_max)
     now = instant(at)
     ready = F.col("status").isin("pending", "retrying") & (F.col("available_at") <= now)
     lost = (F.col("status") == "processing") & (
@@ -122,7 +124,7 @@ def claim(
     """All deliveries, with the due batch marked as processing by `worker`."""
     batch = due(deliveries, at, **options).select("id", F.lit(True).alias("_due"))
     now = instant(at)
-    marked = deliveries.join(F.broadcast(batch), "id", "left")  # at most 500 rows
+    marked = deliveries.join(batch, "id", "left")
     taken = F.coalesce("_due", F.lit(False))
     return marked.select(
         *[

@@ -63,7 +63,8 @@ def histogram_quantile(buckets: DataFrame, groups: list[str], q: float, output:
         .filter(F.col("_first") == 1)
     )
     inside = F.col("cumulative") - F.col("_below")
-    part = (F.col("_rank") - F.col("_below")) / F.greatest(inside, F.lit(1))
+    # rates are buckets too, so the width may be far below one; only an empty bucket has no inside
+    part = F.when(inside > 0, (F.col("_rank") - F.col("_below")) / inside).otherwise(F.lit(1.0))
     value = F.when(F.col("le") == INF, F.col("_lower")).otherwise(
         F.col("_lower") + (F.col("le") - F.col("_lower")) * part
     )
@@ -103,7 +104,10 @@ def trailing_rate(df: DataFrame, groups: list[str], time: str, window_seconds: i
 
     Events are reduced to one row per (group, minute) before minutes are spread
     over the windows that contain them. A window ends at `window_end` and excludes it.
+    It must be a whole number of minutes.
     """
+    if window_seconds <= 0 or window_seconds % 60:
+        raise ValueError("the window must be a positive whole number of minutes")
     amount = F.count("*") if weight is None else F.sum(weight)
     minutes = df.groupBy(*groups, bucket_start(time, "minute").alias("_minute")).agg(amount.alias("_n"))
     steps = window_seconds // 60

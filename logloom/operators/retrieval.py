@@ -122,18 +122,22 @@ def hybrid_search_many(
         cosine(F.col("embedding"), F.col("vector")),
         has_all_tokens(F.col("message_template"), F.col("question")),
     )
-    slim = pairs.select("question_id", "template_id", "message_template", score.alias("score"))
-    salted = slim.withColumn("_salt", row_salt(slim, SALTS))
+    # ids and scores only; a task keeps its best k per question before anything is shuffled
+    slim = pairs.select("question_id", "tenant_id", "template_id", score.alias("score"))
     order = [F.desc("score"), F.col("template_id")]
-    local = Window.partitionBy("question_id", "_salt").orderBy(*order)
+    salted = slim.withColumn("_salt", row_salt(slim, SALTS))
+    local = Window.partitionBy("question_id", "tenant_id", "_salt").orderBy(*order)
     final = Window.partitionBy("question_id").orderBy(*order)
-    return (
+    best = (
         salted.withColumn("rank", F.row_number().over(local))
         .filter(F.col("rank") <= k)
         .withColumn("rank", F.row_number().over(final))
         .filter(F.col("rank") <= k)
         .drop("_salt")
     )
+    texts = rows.select("tenant_id", "template_id", "message_template")
+    return lookup_join(texts, best, ["tenant_id", "template_id"]).select(
+        "question_id", "template_id", "message_template", "score", "rank")
 
 
 def template_evidence(
@@ -188,8 +192,8 @@ def evidence_rows(trace_logs: DataFrame) -> DataFrame:
 
 
 def evidence_document(trace_logs: DataFrame) -> DataFrame:
-    """One JSON document; bounded because an incident holds at most 100 logs."""
-    rows = evidence_rows(trace_logs).limit(DEFAULT.incident_rows)
+    """One JSON document of all given logs, oldest first; `incident_trace` bounds them."""
+    rows = evidence_rows(trace_logs)
     item = F.struct("timestamp", "service", "level", "trace_id", "message", F.parse_json("fields").alias("fields"))
     packed = rows.agg(F.array_sort(F.collect_list(F.struct("timestamp", F.to_json(item).alias("j")))).alias("items"))
     body = F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]"))

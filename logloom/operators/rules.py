@@ -7,14 +7,14 @@ further step, and no step orders or collects a group's raw rows.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.jsonfields import NUMERIC, numeric_text, text_map
 from logloom.functions.text import contains_ignore_case, trim_all
-from logloom.functions.timefns import instant, plus_seconds
+from logloom.functions.timefns import as_datetime, instant, plus_seconds
 from logloom.operators.quantiles import quantile_of_counts
 from logloom.operators.search import in_scope, newest_first
 from logloom.operators.skew import lookup_join
@@ -35,6 +35,7 @@ KINDS = {
     "percentile_based": "percentile",
 }
 MISSING = "<nil>"
+FEW_TENANTS = 200  # so many tenants are named in a filter, more are left to the join
 
 
 def active_rules(rules: DataFrame, services: DataFrame) -> DataFrame:
@@ -317,14 +318,13 @@ def alert_records(
     return rows.orderBy(*newest_first(rows)).limit(limit)
 
 
-def rule_anchors(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """Newest row each rule was loaded for, matched or not: (rule_id, anchor).
+def newest_rows(logs: DataFrame) -> DataFrame:
+    """Newest time per (tenant_id, service, environment)."""
+    return logs.groupBy("tenant_id", "service", "environment").agg(F.max("timestamp").alias("newest"))
 
-    Logs are first reduced to one row per tenant, service and environment.
-    """
-    newest = logs.groupBy("tenant_id", "service", "environment").agg(
-        F.max("timestamp").alias("newest")
-    )
+
+def rule_anchors(newest: DataFrame, rules: DataFrame) -> DataFrame:
+    """Newest row each rule was loaded for, matched or not: (rule_id, anchor)."""
     scopes = rules.select("rule_id", "tenant_id", "scope_service", "scope_environment")
     return (
         lookup_join(newest, scopes, ["tenant_id"], scope_condition(), sized_by=rules)
@@ -333,27 +333,50 @@ def rule_anchors(logs: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_newest(logs: DataFrame, rules: DataFrame) -> DataFrame:
+def evaluate_newest(
+    logs: DataFrame, rules: DataFrame, newest: DataFrame | None = None, batch: DataFrame | None = None
+) -> DataFrame:
     """Triggers over the window that ends at the newest row of each rule, both
-    ends included. A rule without a positive window sees all given rows."""
-    anchored = rules.join(rule_anchors(logs, rules), "rule_id").withColumn(
+    ends included.
+
+    `newest` has the newest time per scope, by default that of `logs`. A rule without a
+    positive window sees the rows of `batch`, by default all of `logs`; with a batch only the days
+    of the windows are read from `logs`.
+    """
+    scopes = newest_rows(logs) if newest is None else newest
+    anchored = rules.join(rule_anchors(scopes, rules), "rule_id").withColumn(
         "since",
         F.when(F.col("window_seconds") > 0, plus_seconds("anchor", -F.col("window_seconds"))),
     )
-    inside = F.col("r.since").isNull() | (F.col("l.timestamp") >= F.col("r.since"))
-    if "event_date" in logs.columns:
+    if batch is None:
+        inside = F.col("r.since").isNull() | (F.col("l.timestamp") >= F.col("r.since"))
+        if "event_date" in logs.columns:
+            anchored = cut_lineage(anchored)
+            if anchored.filter("since IS NULL").isEmpty():
+                logs = _recent_days(logs, anchored)
+        matches = match_rules(logs, anchored, inside, sized_by=rules)
+    else:
         anchored = cut_lineage(anchored)
-        logs = _recent_days(logs, anchored)
-    matches = match_rules(logs, anchored, inside, sized_by=rules)
+        windowed = anchored.filter("since IS NOT NULL")
+        recent = _recent_days(logs, windowed) if "event_date" in logs.columns else logs
+        matches = match_rules(recent, windowed, F.col("l.timestamp") >= F.col("r.since"), sized_by=rules).unionByName(
+            match_rules(batch, anchored.filter("since IS NULL"), sized_by=rules))
     return triggered(_measured(_counted(matches, []), ["group_key"], rules))
 
 
 def _recent_days(logs: DataFrame, anchored: DataFrame) -> DataFrame:
-    """Prune day partitions older than every window (one scalar is fetched)."""
-    bounds = anchored.agg(F.min("since"), F.count_if(F.col("since").isNull())).first()
-    if bounds is None or bounds[0] is None or bounds[1]:
-        return logs
-    return logs.filter(F.col("event_date") >= F.lit(bounds[0].date()))
+    """Only the days and tenants of the windows (scalars and the rules' tenants are fetched).
+
+    Without a window there is nothing to read.
+    """
+    tenants = anchored.groupBy("tenant_id").agg(F.min("since").alias("since")).collect()
+    starts = [t["since"] for t in tenants if t["since"] is not None]
+    if not starts:
+        return logs.filter(F.lit(False))
+    recent = logs.filter(F.col("event_date") >= F.lit(min(starts).date()))
+    if len(tenants) <= FEW_TENANTS:
+        recent = recent.filter(F.col("tenant_id").isin([t["tenant_id"] for t in tenants]))
+    return recent
 
 
 def evaluate_at(logs: DataFrame, rules: DataFrame, at: datetime | str) -> DataFrame:
@@ -378,6 +401,11 @@ def evaluate_ticks(
     run before runs are spread to single ticks.
     """
     windowed = rules.filter(F.col("window_seconds") > 0)
+    longest = windowed.agg(F.max("window_seconds")).first()[0] or 0
+    oldest, latest = as_datetime(first) - timedelta(seconds=longest), as_datetime(last)
+    logs = logs.filter((F.col("timestamp") >= F.lit(oldest)) & (F.col("timestamp") < F.lit(latest)))
+    if "event_date" in logs.columns:
+        logs = logs.filter(F.col("event_date").between(F.lit(oldest.date()), F.lit(latest.date())))
     matches = match_rules(logs, windowed, sized_by=rules)
     origin, end = F.unix_micros(instant(first)), F.unix_micros(instant(last))
     step = F.lit(step_seconds * 1_000_000)

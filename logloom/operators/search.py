@@ -43,7 +43,9 @@ def check_range(start, end, longest, text: str) -> tuple[datetime, datetime]:
     return first, last
 
 
-def positive(value, default: int, most: int, name: str) -> int:
+def positive(value, default: int | None, most: int | None, name: str) -> int | None:
+    """A positive whole number, at most `most`; None for a bound means there is none.
+    """
     if value in (None, ""):
         return default
     try:
@@ -52,7 +54,7 @@ def positive(value, default: int, most: int, name: str) -> int:
         raise RequestError(f"{name} must be a positive integer") from error
     if number <= 0:
         raise RequestError(f"{name} must be a positive integer")
-    return min(number, most)
+    return number if most is None else min(number, most)
 
 
 def bounded_offset(value, most: int) -> int:
@@ -163,6 +165,10 @@ def search_after(logs: DataFrame, query: LogQuery, last_row: dict) -> DataFrame:
     """Deep paging by key: rows after `last_row` in newest-first order, without
     re-sorting everything before it."""
     found = matching_logs(logs, query)
+    # the struct comparison is not pushed down to the files, these bounds are
+    found = found.filter(F.col("timestamp") <= instant(last_row["timestamp"]))
+    if "event_date" in logs.columns:
+        found = found.filter(F.col("event_date") <= F.lit(as_datetime(last_row["timestamp"]).date()))
     keys = ["timestamp", *[c for c in ("ingest_id", "fingerprint", "event_id") if c in logs.columns]]
     after = F.struct(*keys) < F.struct(
         *[(instant(last_row[k]) if k == "timestamp" else F.lit(last_row[k])).alias(k) for k in keys]
@@ -170,9 +176,9 @@ def search_after(logs: DataFrame, query: LogQuery, last_row: dict) -> DataFrame:
     return found.filter(after).orderBy(*newest_first(found)).limit(query.limit)
 
 
-def text_search(logs: DataFrame, needle: str, level: str = "all") -> DataFrame:
-    """Case-insensitive substring over service, message and trace id."""
-    found = logs.filter(free_text(["service", "message", "trace_id"], needle))
+def text_search(logs: DataFrame, tenant_id: int, start, end, needle: str, level: str = "all") -> DataFrame:
+    """Case-insensitive substring over service, message and trace id of a tenant's rows in [start, end)."""
+    found = in_scope(logs, tenant_id, start, end).filter(free_text(["service", "message", "trace_id"], needle))
     return found if level == "all" else found.filter(F.col("level") == level)
 
 

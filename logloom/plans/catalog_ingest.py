@@ -21,7 +21,7 @@ from logloom.operators import admission, integrity, normalize
 from logloom.plans import fixtures as fx
 from logloom.plans.registry import query, sql_stamp, stamp
 from logloom.session import run_folder
-from logloom.sources import batches, logs_table, synthetic
+from logloom.sources import batches, logs_table
 from logloom.streaming import pipeline
 
 
@@ -61,9 +61,9 @@ def validate_batches(spark, sf):
 
 RECORD_CASES = """CASE event_id % 11 WHEN 0 THEN 'timestamp is required' WHEN 1 THEN 'timestamp must be RFC3339'
  WHEN 2 THEN 'level is unsupported' WHEN 3 THEN 'message is required'
- WHEN 4 THEN 'fields["zz"]: unsupported field value type map[string]interface {}'
+ WHEN 4 THEN 'fields["zz"]: unsupported field value type object'
  WHEN 5 THEN 'fields key "bad key" contains unsupported characters' WHEN 6 THEN 'fields keys must be non-empty'
- WHEN 7 THEN 'fields["list"]: unsupported field value type map[string]interface {}' END"""
+ WHEN 7 THEN 'fields["list"]: unsupported field value type object' END"""
 
 
 @query(
@@ -321,7 +321,7 @@ def raw_size(spark, sf):
     f"(SELECT doc_id, {fx.TEMPLATE_SQL.format(m='text')} AS message_template FROM documents)",
 )
 def log_templates(spark, sf):
-    rows = fx.spread(fx.table(spark, sf, "documents")).select("doc_id", message_template(F.col("text")).alias("message_template"))
+    rows = fx.table(spark, sf, "documents").select("doc_id", message_template(F.col("text")).alias("message_template"))
     return rows.withColumn("template_id", template_id(F.col("message_template")))
 
 
@@ -478,19 +478,6 @@ def read_completeness(spark, sf):
     return found.select(F.array_join("missing_days", ",").alias("missing_days"), "partial")
 
 
-@query(
-    "synthetic_logs",
-    "SELECT event_id + 1 AS request, CAST(i AS INTEGER) AS item, strftime(date_trunc('millisecond', ts + to_milliseconds(i - 1)), '%Y-%m-%d %H:%M:%S.%g') AS timestamp, "
-    "'error' AS level, concat('database timeout request=', event_id + 1, ' item=', i) AS message, "
-    "concat('{\"error_code\":\"E42\",\"host\":\"loadtest-1\",\"region\":\"us-west-2\",\"trace_id\":\"request-', event_id + 1, '-item-', i, '\"}') AS fields_json "
-    "FROM events, (SELECT unnest(generate_series(1, 5)) AS i)",
-)
-def synthetic_logs(spark, sf):
-    base = fx.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    made = synthetic.request_logs(base, "event_id", "ts", 5, " E42 ")
-    return made.withColumn("timestamp", stamp("timestamp"))
-
-
 @query(
     "integrity_report",
     fx.with_ctes(

@@ -85,13 +85,13 @@ def trace_lookup(spark, sf):
 @query(
     "free_text_search",
     fx.with_ctes(
-        f"SELECT {sql_stamp('timestamp')}, {LOG_TEXT} FROM logs WHERE level = 'fatal' "
-        "AND contains(lower(service || ' ' || message || ' ' || trace_id), 'checkout purchase request 1')",
+        f"SELECT {sql_stamp('timestamp')}, {LOG_TEXT} FROM logs WHERE level = 'fatal' AND tenant_id = 2 AND {IN_WEEK} "
+        "AND contains(lower(service || ' ' || message || ' ' || trace_id), 'checkout purchase request')",
         "logs",
     ),
 )
 def free_text_search(spark, sf):
-    return _shown(search.text_search(fx.logs(spark, sf), "Checkout purchase REQUEST 1", "fatal"))
+    return _shown(search.text_search(fx.logs(spark, sf), 2, *WEEK, "Checkout purchase REQUEST", "fatal"))
 
 
 @query(

@@ -13,12 +13,11 @@ from logloom.operators.search import as_ndjson, log_query, search_logs
 # fixed values: keys of a query document
 TEXT_KEYS = ["type", "start", "end", "service", "env", "level", "error_code", "aggregation", "bucket", "value_field"]
 WHOLE_KEYS = ["top_k", "limit", "page_size", "offset"]
-MAX_BYTES = 64 * 1024
 
 
-def _document(request: str | dict) -> dict:
+def _document(request: str | dict, limits: Limits = DEFAULT) -> dict:
     if isinstance(request, str):
-        if len(request.encode()) > MAX_BYTES:
+        if len(request.encode()) > limits.request_bytes:
             raise RequestError("invalid query DSL")
         try:
             request = json.loads(request)
@@ -43,7 +42,7 @@ def _positive(value):
 
 def run_query(logs: DataFrame, tenant_id: int, request: str | dict, limits: Limits = DEFAULT) -> DataFrame:
     """Run one query document for a tenant."""
-    doc = _document(request)
+    doc = _document(request, limits)
     kind = doc.get("type", "").strip().lower()
     common = {"start": doc.get("start", ""), "end": doc.get("end", ""), "limits": limits}
     if kind == "logs":

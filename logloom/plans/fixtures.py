@@ -19,13 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on tables that come as fewer files than there are cores, like the
-    samples, which are one file each. Larger tables are left as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _select(projection: Projection, source: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {a}" for e, a in projection) + f" FROM {source}"
 
@@ -213,7 +206,7 @@ def with_ctes(body: str, *names: str, **more: str) -> str:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply(spread(table(spark, sf_dir, "events")), LOGS)
+    return _apply(table(spark, sf_dir, "events"), LOGS)
 
 
 def templated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +342,7 @@ SQL["records"] = _select(RECORDS, "events")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _apply(spread(table(spark, sf_dir, "events")), RECORDS)
+    return _apply(table(spark, sf_dir, "events"), RECORDS)
 
 
 def _batched(rows: DataFrame, item) -> DataFrame:
@@ -397,7 +390,7 @@ SQL["bodies"] = (
     "OR b % 43 = 0 OR b % 47 = 0 THEN 'invalid_request_body' END AS decode_error, "
     "CASE WHEN b % 19 = 0 THEN 'unsupported schema_version \"logs.ingest.v2\"' "
     "WHEN b % 17 = 0 THEN 'log[0]: level is unsupported' "
-    "WHEN b % 29 = 0 THEN 'log[0]: fields[\"nested\"]: unsupported field value type map[string]interface {}' END AS invalid "
+    "WHEN b % 29 = 0 THEN 'log[0]: fields[\"nested\"]: unsupported field value type object' END AS invalid "
     "FROM (SELECT b, count(*) AS log_count FROM records GROUP BY b) "
     "JOIN (SELECT unnest([0, 1]) AS c) ON c = 0 OR b % 13 = 0"
 )

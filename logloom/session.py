@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,10 +39,15 @@ def utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a session that runs in one process may do without: it gets a scratch folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="logloom-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     return scratch

@@ -108,7 +108,14 @@ def completeness(logs: DataFrame, start: datetime | str, end: datetime | str) ->
             F.sequence(F.to_date(instant(start)), F.to_date(last), F.expr("interval 1 day"))
         ).alias("event_date")
     )
-    day = F.col("event_date") if "event_date" in logs.columns else F.to_date("timestamp")
+    # only the days of the range are read
+    if "event_date" in logs.columns:
+        day = F.col("event_date")
+        stop = as_datetime(end) - timedelta(microseconds=1)
+        logs = logs.filter(day.between(F.lit(as_datetime(start).date()), F.lit(stop.date())))
+    else:
+        day = F.to_date("timestamp")
+        logs = logs.filter((F.col("timestamp") >= instant(start)) & (F.col("timestamp") < instant(end)))
     present = logs.select(day.alias("event_date")).distinct()
     missing = expected.join(present, "event_date", "left_anti")
     days = F.array_sort(F.collect_list(F.date_format("event_date", "yyyy-MM-dd")))

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,7 +26,7 @@ from logloom.limits import DEFAULT, Limits
 from logloom.operators import admission, normalize
 from logloom.operators.binding import bind
 from logloom.operators.lifecycle import reconcile
-from logloom.operators.rules import compile_rules, evaluate_newest, runnable
+from logloom.operators.rules import compile_rules, evaluate_newest, newest_rows, runnable
 from logloom.operators.skew import lookup_join
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
 from logloom.session import cut_lineage
@@ -35,6 +36,7 @@ from logloom.sources.logs_table import laid_out, read_logs, writer_options
 # fixed values: delivery policy
 DUPLICATE_WINDOW = "2 minutes"
 MAX_DELIVERIES = 5
+KEY_BUCKETS = 64
 
 STATE = "rule_id bigint, dedupe_key string, status string, first_fired_at timestamp, last_fired_at timestamp, resolved_at timestamp"
 
@@ -47,7 +49,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> str:
         if name not in (
-            "raw_events", "rejects", "logs", "dead_letters", "ingested", "alert_state", "alert_events", "checkpoints",
+            "raw_events", "rejects", "logs", "dead_letters", "ingested", "alert_state", "alert_scopes", "alert_events",
+            "checkpoints",
         ):
             raise AttributeError(name)
         return f"{self.root}/{name}"
@@ -142,6 +145,11 @@ def drop_repeats(stream: DataFrame, received: str = "received") -> DataFrame:
 # --- storage
 
 
+def key_bucket() -> Column:
+    """Part of the key table that holds a batch; a micro-batch reads only its parts."""
+    return F.pmod(F.xxhash64("tenant_id", "ingest_id"), F.lit(KEY_BUCKETS)).cast("int")
+
+
 def batch_key(query: str, batch_id: int) -> str:
     """Micro-batch ids restart with every new query, so the query name belongs to them."""
     return f"{query}-{batch_id:09d}"
@@ -158,16 +166,15 @@ def _write(df: DataFrame, path: str, batch: str, by: tuple[str, ...] = ()) -> No
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def _read_others(spark: SparkSession, path: str, schema: str, batch: str | None = None) -> DataFrame:
     """Rows written by other micro-batches; empty if there are none yet."""
-    if not _exists(spark, path):
+    try:
+        rows = spark.read.schema(f"{schema}, _batch string").parquet(path)
+        rows.schema  # noqa: B018  a remote session resolves the path here only
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], f"{schema}, _batch string")
-    rows = spark.read.schema(f"{schema}, _batch string").parquet(path)
     return rows if batch is None else rows.filter(F.col("_batch") != batch)
 
 
@@ -182,11 +189,19 @@ def read_alert_events(spark: SparkSession, tables: Tables) -> DataFrame:
 
 def read_alert_state(spark: SparkSession, tables: Tables, batch: str | None = None) -> DataFrame:
     """The newest snapshot (one row per rule and key), leaving out that of `batch`."""
-    snapshots = _read_others(spark, tables.alert_state, f"{STATE}, written_at timestamp", batch)
-    last = snapshots.agg(F.max(F.struct("written_at", "_batch"))).first()[0]
-    return snapshots.filter(F.col("_batch") == ("" if last is None else last["_batch"])).drop(
-        "_batch", "written_at"
-    )
+    return _snapshot(spark, tables.alert_state, STATE, batch)[0]
+
+
+def _snapshot(spark: SparkSession, path: str, schema: str, batch: str | None = None) -> tuple[DataFrame, int]:
+    """The snapshot with the highest version and that version. Versions count micro-batches that
+    wrote one, so no clock decides; a repeated micro-batch gets its version again."""
+    snapshots = _read_others(spark, path, f"{schema}, version bigint", batch)
+    last = snapshots.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    return snapshots.filter(F.col("version") == last).drop("_batch", "version"), last
+
+
+def _store_snapshot(rows: DataFrame, path: str, batch: str, version: int) -> None:
+    _write(rows.withColumn("version", F.lit(version).cast("bigint")), path, batch)
 
 
 # --- admission stream
@@ -269,11 +284,14 @@ def process_batch(
     classified = classify(events).persist()
     try:
         _write(distinct_letters(refused_letters(classified)), tables.dead_letters, batch)
-        stored = _read_others(spark, tables.ingested, "tenant_id bigint, ingest_id string", batch)
         good = classified.filter("reason IS NULL").withColumn("ingest_id", F.col("request_id"))
+        good = good.withColumn("key_bucket", key_bucket())
+        buckets = [r[0] for r in good.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS
+        stored = _read_others(spark, tables.ingested, "tenant_id bigint, ingest_id string, key_bucket int", batch)
+        stored = stored.filter(F.col("key_bucket").isin(buckets))
         fresh = not_yet_stored(good, stored).drop("ingest_id").persist()
         try:
-            rows = normalize.normalize_batches(fresh).drop("position")
+            rows = normalize.normalize_batches(fresh.drop("key_bucket")).drop("position")
             _write(
                 laid_out(rows.withColumn("processed_at", F.current_timestamp())),
                 tables.logs, batch, ("event_date",),
@@ -281,22 +299,30 @@ def process_batch(
             # the keys are written last: until then a repeat stores the batch again
             # under the same `_batch`, replacing the first try
             _write(
-                fresh.select("tenant_id", F.col("request_id").alias("ingest_id")), tables.ingested, batch
+                fresh.select("tenant_id", F.col("request_id").alias("ingest_id"), "key_bucket"),
+                tables.ingested, batch, ("key_bucket",),
             )
             if rules is not None:
-                update_alerts(spark, fresh, batch, tables, rules)
+                update_alerts(spark, fresh, rows, batch, tables, rules)
         finally:
             fresh.unpersist()
     finally:
         classified.unpersist()
 
 
+SCOPES = "tenant_id bigint, service string, environment string, newest timestamp"
+
+
 def update_alerts(
-    spark: SparkSession, fresh: DataFrame, batch: str, tables: Tables, rules: DataFrame
+    spark: SparkSession, fresh: DataFrame, rows: DataFrame, batch: str, tables: Tables, rules: DataFrame
 ) -> None:
-    """Evaluate the rules a micro-batch touches over the stored logs of their window
-    and move the alert state on by one step. The state has one row per (rule, key)
-    and is kept as a snapshot per micro-batch."""
+    """Evaluate the rules a micro-batch touches and move the alert state on by one step.
+
+    Rules with a window see the stored logs of their window: the newest time per scope is kept as a
+    small table, so only the days of the windows are read. Rules without a window see the rows of the
+    micro-batch. State and scopes are snapshots with a version per micro-batch; every tenant's
+    changes carry the newest reception time of its own batches.
+    """
     compiled = cut_lineage(runnable(compile_rules(rules)))
     touched = fresh.select(
         F.col("tenant_id").alias("_tenant"),
@@ -307,20 +333,25 @@ def update_alerts(
         F.col("scope_service").isNull()
         | ((F.col("scope_service") == F.col("_service")) & (F.col("scope_environment") == F.col("_env")))
     )
-    evaluated = compiled.join(touched, in_scope, "left_semi")
-    newest = fresh.agg(F.max(normalize.parse_instant("received_at"))).first()[0]
-    if newest is None:
-        return
-    triggers = evaluate_newest(read_stored_logs(spark, tables), evaluated)
-    current = read_alert_state(spark, tables, batch)
-    step = reconcile(triggers, current, evaluated, newest).persist()
+    observed = fresh.groupBy("tenant_id").agg(F.max(normalize.parse_instant("received_at")).alias("observed_at"))
+    evaluated = compiled.join(touched, in_scope, "left_semi").join(observed.filter("observed_at IS NOT NULL"), "tenant_id")
+    scopes, version = _snapshot(spark, tables.alert_scopes, SCOPES, batch)
+    newest = scopes.unionByName(newest_rows(rows)).groupBy("tenant_id", "service", "environment").agg(
+        F.max("newest").alias("newest"))
+    newest = newest.persist()
+    current, step_version = _snapshot(spark, tables.alert_state, STATE, batch)
+    triggers = evaluate_newest(read_stored_logs(spark, tables), evaluated, newest, rows)
+    step = reconcile(triggers, current, evaluated).persist()
     try:
-        changes = step.filter("event_type IS NOT NULL").withColumn("created_at", F.lit(newest))
+        changes = step.filter("event_type IS NOT NULL").withColumnRenamed("observed_at", "created_at")
         _write(changes, tables.alert_events, batch)
-        snapshot = step.drop("event_type", "match_count", "metric_value")
-        _write(snapshot.withColumn("written_at", F.current_timestamp()), tables.alert_state, batch)
+        _store_snapshot(newest, tables.alert_scopes, batch, version + 1)
+        _store_snapshot(
+            step.drop("event_type", "match_count", "metric_value", "observed_at"), tables.alert_state, batch,
+            step_version + 1)
     finally:
         step.unpersist()
+        newest.unpersist()
 
 
 def process_stream(
