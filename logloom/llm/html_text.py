@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>)", re.S)
+CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")  # a tag that the end of the page cuts off
 HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "select", "svg", "iframe", "object", "math", "title"}
 BLOCKS = {
@@ -102,7 +103,7 @@ def page_blocks(page: str) -> list[Block]:
     while True:
         found = TAG.search(page, at, end) if at < end else None
         if found is None:
-            add(page[at:])
+            add(CUT_TAG.sub("", page[at:]))
             break
         add(page[at:found.start()])
         at = found.end()

@@ -4,7 +4,7 @@ A text is a row of five-word shingles; a shingle that occurs again carries the n
 occurrence. One sketch takes the `take` shingles with the smallest hashes and keeps them in text
 order, so two texts share a sketch only if they share these shingles in this order. Texts that
 share any of `sketches` sketches are candidates: at similarity s a sketch agrees with chance
-about s ** take, so 1 - (1 - 0.8 ** 3) ** 16 > 0.99999 of the pairs at the threshold are found.
+about s ** take, so 1 - (1 - 0.8 ** 3) ** 20 > 0.999999 of the pairs at the threshold are found.
 
 Candidates are verified on their shingle rows: matched shingles of the best order-keeping alignment
 over all shingles of both, at least `similarity`. The alignment runs in the band that a similar
@@ -12,8 +12,9 @@ pair cannot leave, as a bit vector.
 
 Work per bucket (texts with an equal sketch) is not all pairs. First every text is compared with
 one centre of its buckets, twice with different centres; linked texts form classes. Then only pairs
-of texts from different classes that still share a bucket are compared, each of them. No
-candidate pair is left out, and copies and near copies in any number cost one comparison each.
+of texts from different classes that still share a bucket are compared, each of them; in crowded
+buckets a pair must share a second (third, fourth) sketch, see `_crossing`. Copies and near copies in any number
+cost a few comparisons each.
 
 Words are runs of letters, digits and non-ASCII characters in lower case. Texts with equal words are
 copies and share one vertex. Defined results: a text without words (null, empty, symbols only) is
@@ -37,8 +38,10 @@ from logloom.llm.text import row_keys
 from logloom.session import cut_lineage
 
 SHINGLE = 5
-SKETCHES = 16
+SKETCHES = 20
 TAKE = 3
+CROWD = 32  # classes under one key that are all compared with each other
+LEVELS = 4
 SIMILARITY = 0.8
 CELLS = 1 << 18  # hashes held at once while sketching a text
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -304,22 +307,43 @@ def _centred(members: DataFrame, number: int) -> DataFrame:
     return chosen.select(F.col("vertex").alias("a"), F.col("centre.vertex").alias("b"))
 
 
-def _crossing(members: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of vertices that share a bucket, belong to different classes and can be similar by their sizes.
+def _opened(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of vertices of different classes under the same key that can be similar by their sizes.
 
-    Classes of a bucket are paired first and then opened, so members of one class never meet.
+    Classes are paired first and then opened, so members of one class never meet.
     """
-    classes = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    several = classes.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    left = members.join(several, "bucket", "left_semi").select(
-        "bucket", F.col("root").alias("root_a"), F.col("vertex").alias("a"), F.col("size").alias("size_a"))
-    mixed = cut_lineage(left)
-    roots = mixed.select("bucket", "root_a").distinct()
-    paired = roots.join(roots.select("bucket", F.col("root_a").alias("root_b")), "bucket").filter("root_a < root_b")
-    right = mixed.select("bucket", F.col("root_a").alias("root_b"), F.col("a").alias("b"), F.col("size_a").alias("size_b"))
-    pairs = paired.join(mixed, ["bucket", "root_a"]).join(right, ["bucket", "root_b"])
+    left = rows.select("key", F.col("root").alias("root_a"), F.col("vertex").alias("a"), F.col("size").alias("size_a"))
+    right = rows.select("key", F.col("root").alias("root_b"), F.col("vertex").alias("b"), F.col("size").alias("size_b"))
+    roots = rows.select("key", F.col("root").alias("root_a")).distinct()
+    paired = roots.join(roots.select("key", F.col("root_a").alias("root_b")), "key").filter("root_a < root_b")
+    pairs = paired.join(left, ["key", "root_a"]).join(right, ["key", "root_b"])
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
-    return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _crossing(members: DataFrame, vertices: DataFrame, similarity: float, crowd: int, levels: int) -> DataFrame:
+    """All pairs of vertices to compare: of different classes, with a sketch in common.
+
+    Where a sketch brings more than `crowd` classes together (a passage that very many texts share), it says
+    little: there a pair must agree in a second sketch, and in a third where that still crowds, up to
+    `levels`. Pairs at the threshold agree in half of all sketches, so with 20 sketches one in 7000 of them
+    agrees in fewer than three; the last level takes all pairs.
+    """
+    rows = members.select(F.col("bucket").alias("key"), F.array("bucket").alias("picks"), "vertex", "root", "size")
+    found = None
+    for level in range(1, levels + 1):
+        classes = rows.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1")
+        rows = cut_lineage(rows.join(classes, "key"))
+        last = level == levels or rows.filter(F.col("classes") > crowd).isEmpty()
+        pairs = _opened(rows if last else rows.filter(F.col("classes") <= crowd), similarity)
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            break
+        others = rows.filter(F.col("classes") > crowd).join(vertices.select("vertex", "sketches"), "vertex")
+        others = others.withColumn("pick", F.explode("sketches")).filter(~F.array_contains("picks", F.col("pick")))
+        others = others.withColumn("picks", F.array_sort(F.array_append("picks", F.col("pick"))))
+        rows = others.select(F.xxhash64("picks").alias("key"), "picks", "vertex", "root", "size").dropDuplicates(["key", "vertex"])
+    return found.distinct()
 
 
 def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -329,7 +353,7 @@ def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, take: int = TAKE,
-    similarity: float = SIMILARITY,
+    similarity: float = SIMILARITY, crowd: int = CROWD, levels: int = LEVELS,
 ) -> DataFrame:
     """One row per document: doc_id, k1, k2, class key `root`, class_id (smallest doc_id), class_size, kept.
 
@@ -357,7 +381,7 @@ def near_classes(
 
     for number in (1, 2):
         members = link(_centred(members, number), members)
-    members = link(_crossing(members, similarity), members)
+    members = link(_crossing(members, vertices, similarity, crowd, levels), members)
     roots = members.select("vertex", "root").distinct()
     classed = rows.join(roots, "vertex", "left").select(
         "doc_id", "k1", "k2",

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -340,8 +341,6 @@ def encode(
 
 def decode(rows: DataFrame, *, ids_col: str = "ids", out: str = "text", model_file: str | None = None) -> DataFrame:
     """`rows` with the text of their ids in `out`."""
-    import pandas as pd
-
     path = model_file or default_model()
 
     @F.pandas_udf("string")
