@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.text import canon_tag
+from logloom.functions.timefns import as_datetime, instant
 from logloom.limits import DEFAULT, Limits
-from logloom.operators import admission, normalize
+from logloom.operators import admission, normalize, notify
 from logloom.operators.binding import bind
-from logloom.operators.lifecycle import reconcile
-from logloom.operators.rules import compile_rules, evaluate_newest, newest_rows, runnable
+from logloom.operators.lifecycle import alert_events, reconcile
+from logloom.operators.rules import compile_rules, evaluate_at, evaluate_newest, newest_rows, runnable
 from logloom.operators.skew import lookup_join
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
 from logloom.session import cut_lineage
@@ -38,6 +40,7 @@ DUPLICATE_WINDOW = "2 minutes"
 MAX_DELIVERIES = 5
 KEY_BUCKETS = 64
 
+EVENT_LOG = ["id", "alert_instance_id", "tenant_id", "rule_id", "event_type", "payload_json", "created_at"]
 STATE = "rule_id bigint, dedupe_key string, status string, first_fired_at timestamp, last_fired_at timestamp, resolved_at timestamp"
 
 
@@ -50,7 +53,7 @@ class Tables:
     def __getattr__(self, name: str) -> str:
         if name not in (
             "raw_events", "rejects", "logs", "dead_letters", "ingested", "alert_state", "alert_scopes", "alert_events",
-            "checkpoints",
+            "alert_log", "deliveries", "checkpoints",
         ):
             raise AttributeError(name)
         return f"{self.root}/{name}"
@@ -343,17 +346,55 @@ def update_alerts(
     triggers = evaluate_newest(read_stored_logs(spark, tables), evaluated, newest, rows)
     step = reconcile(triggers, current, evaluated).persist()
     try:
-        changes = step.filter("event_type IS NOT NULL").withColumnRenamed("observed_at", "created_at")
-        _write(changes, tables.alert_events, batch)
+        _store_step(step, compiled, rules, batch, tables, step_version + 1)
         _store_snapshot(newest, tables.alert_scopes, batch, version + 1)
-        _store_snapshot(
-            step.drop("event_type", "match_count", "metric_value", "observed_at"), tables.alert_state, batch,
-            step_version + 1)
     finally:
         step.unpersist()
         newest.unpersist()
 
 
+def _store_step(
+    step: DataFrame, compiled: DataFrame, rules: DataFrame, batch: str, tables: Tables, version: int
+) -> None:
+    """Store one step of the alert state: changes, event log with payloads, outbox, and the state last."""
+    changes = step.filter("event_type IS NOT NULL")
+    facts = compiled.select(
+        "rule_id", "tenant_id", "rule_name", "severity", "kind", "threshold", "window_seconds", "percentile", "value_field"
+    )
+    events = lookup_join(changes.withColumnRenamed("observed_at", "tick"), facts, ["rule_id"])
+    for column in ("service_name", "environment", "owner"):
+        if column not in rules.columns:
+            rules = rules.withColumn(column, F.lit(None).cast("string"))
+    deliveries = notify.enqueue(events, rules)
+    log = alert_events(events).select(*EVENT_LOG).unionByName(notify.enqueued_events(deliveries).select(*EVENT_LOG))
+    _write(changes.withColumnRenamed("observed_at", "created_at"), tables.alert_events, batch)
+    _write(log, tables.alert_log, batch)
+    _write(deliveries, tables.deliveries, batch)
+    _store_snapshot(
+        step.drop("event_type", "match_count", "metric_value", "observed_at"), tables.alert_state, batch, version)
+
+
+def evaluate_scheduled(
+    spark: SparkSession, tables: Tables, rules: DataFrame, at: datetime | str, name: str = "schedule"
+) -> None:
+    """One evaluation of all rules with a window at a given time, stored like that of a micro-batch.
+
+    Alerts resolve this way when no new rows arrive. Run it from a scheduler, not beside the
+    processing query; the same time again replaces the first try.
+    """
+    moment = as_datetime(at)
+    batch = f"{name}-{moment:%Y%m%dT%H%M%S}"
+    compiled = cut_lineage(runnable(compile_rules(rules)))
+    windowed = compiled.filter(F.col("window_seconds") > 0).withColumn("observed_at", instant(moment))
+    triggers = evaluate_at(read_stored_logs(spark, tables), windowed, moment)
+    current, version = _snapshot(spark, tables.alert_state, STATE, batch)
+    step = reconcile(triggers, current, windowed).persist()
+    try:
+        _store_step(step, compiled, rules, batch, tables, version + 1)
+    finally:
+        step.unpersist()
+
+
 def process_stream(
     spark: SparkSession,
     tables: Tables,

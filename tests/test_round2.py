@@ -156,3 +156,26 @@ def test_rules_without_a_window_see_the_micro_batch_only(spark, tmp_path):
     fourth = send(30, "e")
     assert fourth - third == {(7, "resolved", None, 30), (8, "resolved", None, 30)}
     assert {r["status"] for r in pipeline.read_alert_state(spark, tables).collect()} == {"resolved"}
+
+    # a scheduled evaluation without new rows changes nothing here but is stored, and repeats replace it
+    for _ in range(2):
+        pipeline.evaluate_scheduled(spark, tables, windowless(spark), "2026-07-07T12:30:30Z")
+    assert pipeline.read_alert_events(spark, tables).count() == len(fourth)
+    outbox = spark.read.parquet(tables.deliveries).collect()
+    assert sorted((r["rule_id"], json.loads(r["payload_json"])["event_type"]) for r in outbox) == [
+        (7, "resolved"), (7, "triggered"), (8, "resolved"), (8, "triggered")]
+    log = [r["event_type"] for r in spark.read.parquet(tables.alert_log).collect()]
+    assert sorted(log) == ["notification_enqueued"] * 4 + ["resolved"] * 2 + ["suppressed"] + ["triggered"] * 2
+
+
+def test_scheduled_evaluation_resolves_without_new_rows(spark, tmp_path):
+    tables = pipeline.Tables(str(tmp_path / "tables"))
+    logs = fx.templated_logs(spark, SF).drop("event_id").filter("tenant_id = 1").withColumn(
+        "processed_at", F.current_timestamp()).withColumn("_batch", F.lit("load"))
+    logs_table.laid_out(logs).write.partitionBy("event_date", "_batch").parquet(tables.logs)
+    at = logs.filter("level = 'error'").agg(F.max("timestamp")).first()[0] + dt.timedelta(seconds=1)
+    ready = windowless(spark).filter("id = 8").withColumn("threshold", F.lit("1"))
+    pipeline.evaluate_scheduled(spark, tables, ready, at.replace(tzinfo=dt.timezone.utc))
+    pipeline.evaluate_scheduled(spark, tables, ready, (at + dt.timedelta(hours=1)).replace(tzinfo=dt.timezone.utc))
+    kinds = [r["event_type"] for r in pipeline.read_alert_events(spark, tables).orderBy("created_at").collect()]
+    assert kinds == ["triggered", "resolved"]
