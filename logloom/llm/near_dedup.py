@@ -11,10 +11,10 @@ over all shingles of both, at least `similarity`. The alignment runs in the band
 pair cannot leave, as a bit vector.
 
 Work per bucket (texts with an equal sketch) is not all pairs. First every text is compared with
-one centre of its buckets, twice with different centres; linked texts form classes. Then only pairs
-of texts from different classes that still share a bucket are compared, each of them; in crowded
-buckets a pair must share a second (third, fourth) sketch, see `_crossing`. Copies and near copies in any number
-cost a few comparisons each.
+one centre of its buckets, twice with different centres; linked texts form classes. Then texts of
+different classes that still share a bucket are compared: all of them where few classes meet, and in
+crowded buckets each with its neighbours by the other sketches. So copies and near copies in
+any number cost some comparisons each, and a passage that very many texts share costs no square.
 
 Words are runs of letters, digits and non-ASCII characters in lower case. Texts with equal words are
 copies and share one vertex. Defined results: a text without words (null, empty, symbols only) is
@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.text import row_keys
@@ -40,8 +40,7 @@ from logloom.session import cut_lineage
 SHINGLE = 5
 SKETCHES = 20
 TAKE = 3
-CROWD = 32  # classes under one key that are all compared with each other
-LEVELS = 4
+CROWD = 32  # classes of a bucket that are all compared with each other
 SIMILARITY = 0.8
 CELLS = 1 << 18  # hashes held at once while sketching a text
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
@@ -294,56 +293,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _centred(members: DataFrame, number: int) -> DataFrame:
-    """One pair per vertex: itself and one centre of its buckets from another class.
+def _centred(members: DataFrame, used: DataFrame | None) -> DataFrame:
+    """One pair per vertex: itself and, of the centres of its buckets, the one it meets most often.
 
-    Centres are smallest by a hash that changes with `number`; the vertex takes the smallest of its centres.
+    The centre of a bucket is the vertex that meets most others in all its buckets: the original of a family
+    shares more with every copy than copies share among themselves. `used` centres do not serve again.
     """
-    order = F.xxhash64(F.lit(number), F.col("vertex"))
-    ranked = members.withColumn("at", F.struct(order.alias("order"), F.col("vertex").alias("vertex"), F.col("root").alias("root")))
-    centres = ranked.groupBy("bucket").agg(F.min("at").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    met = ranked.join(centres, "bucket").filter(F.col("centre.root") != F.col("root"))
-    chosen = met.groupBy("vertex").agg(F.min("centre").alias("centre"))
-    return chosen.select(F.col("vertex").alias("a"), F.col("centre.vertex").alias("b"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    score = members.join(sizes, "bucket").groupBy("vertex").agg(F.sum("n").alias("score"))
+    ranked = members.join(score, "vertex")
+    if used is not None:
+        ranked = ranked.join(used, "vertex", "left_anti")
+    centres = ranked.groupBy("bucket").agg(F.max(F.struct("score", "vertex", "root")).alias("centre"))
+    met = members.join(centres, "bucket").filter(F.col("centre.root") != F.col("root"))
+    often = met.groupBy("vertex", F.col("centre.vertex").alias("b")).agg(F.count("*").alias("n"))
+    return often.groupBy("vertex").agg(F.max(F.struct("n", "b")).alias("best")).select(
+        F.col("vertex").alias("a"), F.col("best.b").alias("b"))
 
 
 def _opened(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of vertices of different classes under the same key that can be similar by their sizes.
+    """Pairs of vertices of different classes in the same bucket that can be similar by their sizes.
 
     Classes are paired first and then opened, so members of one class never meet.
     """
-    left = rows.select("key", F.col("root").alias("root_a"), F.col("vertex").alias("a"), F.col("size").alias("size_a"))
-    right = rows.select("key", F.col("root").alias("root_b"), F.col("vertex").alias("b"), F.col("size").alias("size_b"))
-    roots = rows.select("key", F.col("root").alias("root_a")).distinct()
-    paired = roots.join(roots.select("key", F.col("root_a").alias("root_b")), "key").filter("root_a < root_b")
-    pairs = paired.join(left, ["key", "root_a"]).join(right, ["key", "root_b"])
+    left = rows.select("bucket", F.col("root").alias("root_a"), F.col("vertex").alias("a"), F.col("size").alias("size_a"))
+    right = rows.select("bucket", F.col("root").alias("root_b"), F.col("vertex").alias("b"), F.col("size").alias("size_b"))
+    roots = rows.select("bucket", F.col("root").alias("root_a")).distinct()
+    paired = roots.join(roots.select("bucket", F.col("root_a").alias("root_b")), "bucket").filter("root_a < root_b")
+    pairs = paired.join(left, ["bucket", "root_a"]).join(right, ["bucket", "root_b"])
     fits = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similarity - 1e-9
     return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _crossing(members: DataFrame, vertices: DataFrame, similarity: float, crowd: int, levels: int) -> DataFrame:
-    """All pairs of vertices to compare: of different classes, with a sketch in common.
+def _neighbours(rows: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs of different classes that stand side by side when a bucket is sorted by its members' other sketches.
 
-    Where a sketch brings more than `crowd` classes together (a passage that very many texts share), it says
-    little: there a pair must agree in a second sketch, and in a third where that still crowds, up to
-    `levels`. Pairs at the threshold agree in half of all sketches, so with 20 sketches one in 7000 of them
-    agrees in fewer than three; the last level takes all pairs.
+    Read on from the bucket's own sketch, and once more backwards, rows that agree in the most sketches in a
+    run become neighbours; each of the buckets of a vertex starts at another place.
     """
-    rows = members.select(F.col("bucket").alias("key"), F.array("bucket").alias("picks"), "vertex", "root", "size")
-    found = None
-    for level in range(1, levels + 1):
-        classes = rows.select("key", "root").distinct().groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1")
-        rows = cut_lineage(rows.join(classes, "key"))
-        last = level == levels or rows.filter(F.col("classes") > crowd).isEmpty()
-        pairs = _opened(rows if last else rows.filter(F.col("classes") <= crowd), similarity)
-        found = pairs if found is None else found.unionByName(pairs)
-        if last:
-            break
-        others = rows.filter(F.col("classes") > crowd).join(vertices.select("vertex", "sketches"), "vertex")
-        others = others.withColumn("pick", F.explode("sketches")).filter(~F.array_contains("picks", F.col("pick")))
-        others = others.withColumn("picks", F.array_sort(F.array_append("picks", F.col("pick"))))
-        rows = others.select(F.xxhash64("picks").alias("key"), "picks", "vertex", "root", "size").dropDuplicates(["key", "vertex"])
-    return found.distinct()
+    others = rows.join(vertices.select("vertex", "sketches"), "vertex")
+    own = F.array_position("sketches", F.col("bucket")).cast("int")
+    onward = F.concat(F.slice("sketches", own, F.size("sketches")), F.slice("sketches", F.lit(1), own))
+    pairs = None
+    for order in (onward, F.reverse(onward)):
+        before = F.lag(F.struct("vertex", "root")).over(Window.partitionBy("bucket").orderBy("order", "vertex"))
+        found = others.withColumn("order", order).withColumn("before", before).filter(F.col("before.root") != F.col("root"))
+        found = found.select(F.least("vertex", "before.vertex").alias("a"), F.greatest("vertex", "before.vertex").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
+
+
+def _crossing(members: DataFrame, vertices: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Pairs of vertices of different classes with a sketch in common.
+
+    All of them in buckets of at most `crowd` classes. Where a sketch brings more classes together (a passage
+    that very many texts share) it says little; there a vertex meets its neighbours by the other sketches.
+    """
+    classes = members.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("classes"))
+    rows = cut_lineage(members.join(classes.filter("classes > 1"), "bucket"))
+    few, many = rows.filter(F.col("classes") <= crowd), rows.filter(F.col("classes") > crowd)
+    return _opened(few, similarity).unionByName(_neighbours(many, vertices)).distinct()
 
 
 def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -353,7 +362,7 @@ def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sketches: int = SKETCHES, take: int = TAKE,
-    similarity: float = SIMILARITY, crowd: int = CROWD, levels: int = LEVELS,
+    similarity: float = SIMILARITY, crowd: int = CROWD,
 ) -> DataFrame:
     """One row per document: doc_id, k1, k2, class key `root`, class_id (smallest doc_id), class_size, kept.
 
@@ -367,7 +376,6 @@ def near_classes(
     members = cut_lineage(buckets.join(crowded, "bucket").withColumn("root", F.col("vertex")))
     wanted = vertices.join(members.select("vertex").distinct(), "vertex").select("k1", "k2", "vertex")
     sequences = cut_lineage(_sequences(docs, id_col, text_col, wanted))
-    label_steps = []
 
     def link(pairs: DataFrame, members: DataFrame) -> DataFrame:
         edges = _verified(pairs, sequences, similarity)
@@ -376,12 +384,12 @@ def near_classes(
         edges = edges.join(roots.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a").join(
             roots.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b")
         labels = components(edges.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        label_steps.append(labels)
         return cut_lineage(_relabel(members, labels))
 
-    for number in (1, 2):
-        members = link(_centred(members, number), members)
-    members = link(_crossing(members, vertices, similarity, crowd, levels), members)
+    pairs = cut_lineage(_centred(members, None))
+    members = link(pairs, members)
+    members = link(_centred(members, pairs.select(F.col("b").alias("vertex")).distinct()), members)
+    members = link(_crossing(members, vertices, similarity, crowd), members)
     roots = members.select("vertex", "root").distinct()
     classed = rows.join(roots, "vertex", "left").select(
         "doc_id", "k1", "k2",
