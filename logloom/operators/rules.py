@@ -227,7 +227,14 @@ def match_rules(
     condition = scope_condition() & filter_condition()
     if window is not None:
         condition = window & condition
-    joined = lookup_join(rule_rows(logs), rules, ["tenant_id"], condition, sized_by=sized_by)
+    # a row meets the rules of its own service and those of its whole tenant, not all rules of the tenant
+    tenant, none = F.col("tenant_id").cast("bigint"), F.lit("")
+    rows = rule_rows(logs).withColumn("scope_key", F.explode(F.array_distinct(F.array(
+        F.xxhash64(tenant, F.coalesce("service", none), F.coalesce("environment", none)), F.xxhash64(tenant)))))
+    keyed = rules.withColumn("scope_key", F.when(F.col("scope_service").isNull(), F.xxhash64(tenant)).otherwise(
+        F.xxhash64(tenant, F.col("scope_service"), F.coalesce("scope_environment", none))))
+    joined = lookup_join(rows, keyed.withColumnRenamed("tenant_id", "rule_tenant"), ["scope_key"],
+                         (F.col("l.tenant_id") == F.col("r.rule_tenant")) & condition, sized_by=sized_by)
     fields = F.col("fields")
     number = F.when(F.col("value_field") == "raw_size_bytes", F.col("raw_size_bytes").cast("double")).otherwise(
         numeric_text(

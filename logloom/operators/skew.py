@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from logloom.functions.timefns import epoch_slice
 
 LOOKUP_ROWS = 50_000
+LOOKUP_BYTES = 32 << 20
 SALTS = 64
 SLICE_SECONDS = 3600
 
@@ -26,10 +27,15 @@ def row_salt(df: DataFrame, buckets: int) -> Column:
 
 
 def fits(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> bool:
-    """Bounded size check: reads at most `max_rows` + 1 rows, once per table object."""
+    """Whether a table has at most `max_rows` rows and LOOKUP_BYTES of JSON text, so that it may be broadcast.
+
+    Reads at most `max_rows` + 1 rows, once per table object.
+    """
     known = df.__dict__.setdefault("_row_bounds", {})
     if max_rows not in known:
-        known[max_rows] = df.limit(max_rows + 1).count() <= max_rows
+        size = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        row = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        known[max_rows] = row["n"] <= max_rows and row["bytes"] <= LOOKUP_BYTES
     return known[max_rows]
 
 
@@ -45,7 +51,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large table to a control table on `on` plus an optional condition.
 
-    The control table is broadcast only after its row count has been checked.
+    The control table is broadcast only after its rows and bytes have been checked.
     Beyond the bound each key is spread over `salts` sub-keys, with the control
     rows repeated once per sub-key, so a hot key is still split. Only inner,
     left, left_semi and left_anti joins are meaningful this way.

@@ -129,26 +129,36 @@ def _accepted(spark, sf):
     return admission.canonical_batches(valid)
 
 
+FINGERPRINTS = (
+    "SELECT x.b, x.copy, x.tenant_id, x.log_count, substr(sha256(concat('{\"tenant_id\":', x.tenant_id, ',\"service\":\"svc-', x.b % 5, "
+    "'\",\"env\":\"prod\",\"source\":\"app\",\"logs\":[', y.items, ']}')), 1, 32) AS fingerprint FROM bodies x JOIN "
+    "(SELECT b, string_agg(concat('{\"timestamp\":\"', canonical_ts, '\",\"level\":\"', level, '\",\"message\":\"', message, "
+    "'\",\"fields\":', canonical_fields, '}'), ',' ORDER BY position) AS items FROM records GROUP BY b) y USING (b) "
+    "WHERE decode_error IS NULL AND invalid IS NULL"
+)
+
+
 @query(
     "batch_fingerprint",
-    fx.with_ctes(
-        "SELECT x.b, x.copy, substr(sha256(concat('{\"tenant_id\":', x.tenant_id, ',\"service\":\"svc-', x.b % 5, "
-        "'\",\"env\":\"prod\",\"source\":\"app\",\"logs\":[', y.items, ']}')), 1, 32) AS fingerprint FROM bodies x JOIN "
-        "(SELECT b, string_agg(concat('{\"timestamp\":\"', canonical_ts, '\",\"level\":\"', level, '\",\"message\":\"', message, "
-        "'\",\"fields\":', canonical_fields, '}'), ',' ORDER BY position) AS items FROM records GROUP BY b) y USING (b) "
-        "WHERE decode_error IS NULL AND invalid IS NULL",
-        "records", "bodies",
-    ),
+    fx.with_ctes("SELECT b, copy, fingerprint FROM prints", "records", "bodies", prints=FINGERPRINTS),
 )
 def batch_fingerprint(spark, sf):
     return _accepted(spark, sf).select("b", "copy", admission.batch_fingerprint().alias("fingerprint"))
 
 
-@query("publish_raw")
+@query(
+    "publish_raw",
+    fx.with_ctes(
+        "SELECT fingerprint AS msg_id, fingerprint AS request_id, tenant_id, concat('svc-', b % 5) AS service, 'prod' AS env, "
+        "'2024-02-01T00:00:00Z' AS received_at, log_count FROM prints",
+        "records", "bodies", prints=FINGERPRINTS,
+    ),
+)
 def publish_raw(spark, sf):
     events = admission.to_raw_events(_accepted(spark, sf), F.lit("2024-02-01T00:00:00Z"))
-    return events.withColumn("msg_id", batches.message_id()).withColumn(
-        "logs", F.size("logs")
+    return events.select(
+        batches.message_id().alias("msg_id"), "request_id", "tenant_id", "service", "env", "received_at",
+        F.size("logs").cast("bigint").alias("log_count"),
     )
 
 

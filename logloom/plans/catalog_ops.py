@@ -269,6 +269,23 @@ def histogram_quantile(spark, sf):
     return found.withColumn("p95", F.round("p95", 9))
 
 
+@query(
+    "histogram_quantile_rates",
+    fx.with_ctes(
+        "SELECT service, route, round(CASE WHEN isinf(le) THEN lower_bound ELSE lower_bound + (le - lower_bound) * (rank - below) / (cumulative - below) END, 9) AS p95 "
+        "FROM (SELECT *, row_number() OVER (PARTITION BY service, route ORDER BY le) AS r FROM (SELECT *, coalesce(lag(le) OVER w, 0) AS lower_bound, "
+        "coalesce(lag(cumulative) OVER w, 0) AS below, total_count * 0.95::DOUBLE AS rank FROM (SELECT service, route, le, cumulative / 2592000::DOUBLE AS cumulative, "
+        "total_count / 2592000::DOUBLE AS total_count FROM h) WINDOW w AS (PARTITION BY service, route ORDER BY le)) WHERE cumulative >= rank) WHERE r = 1",
+        "request_outcomes", h=LATENCY,
+    ),
+)
+def histogram_quantile_rates(spark, sf):
+    """Buckets as events per second over a month: far below one."""
+    buckets = om.histogram(fx.request_outcomes(spark, sf), ["service", "route"], "duration_s", om.LATENCY_BOUNDS)
+    rates = buckets.withColumn("cumulative", F.col("cumulative") / F.lit(2592000.0))
+    return om.histogram_quantile(rates, ["service", "route"], 0.95, "p95").withColumn("p95", F.round("p95", 9))
+
+
 @query(
     "latency_summary",
     fx.with_ctes(

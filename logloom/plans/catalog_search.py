@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logloom.limits import DEFAULT, UNBOUNDED
 from logloom.operators import analytics as an
 from logloom.operators import graph, search
+from logloom.operators.quantiles import exact_quantile
 from logloom.plans import fixtures as fx
 from logloom.plans.dsl import run_query
 from logloom.plans.registry import query, sql_stamp, stamp
@@ -257,12 +258,39 @@ def analytics_percentile_missing(spark, sf):
     )
 
 
-@query("analytics_percentile_approx")
+@query(
+    "analytics_percentile_approx",
+    fx.with_ctes(
+        f"SELECT service AS group_service, true AS within FROM logs WHERE tenant_id = 1 AND {IN_MONTH} GROUP BY ALL ORDER BY 1 LIMIT 100",
+        "logs",
+    ),
+)
 def analytics_percentile_approx(spark, sf):
-    return _analytics(
-        spark, sf, 1, "percentile", approximate=True, percentile=95, value_field="field.duration_ms",
-        group_by=["service"],
+    """The sketched percentile lies between the exact ones half a percent of the ranks to either side."""
+    asked = {"value_field": "field.duration_ms", "group_by": ["service"]}
+    rough = _analytics(spark, sf, 1, "percentile", approximate=True, percentile=95, **asked)
+    low, high = (
+        _analytics(spark, sf, 1, "percentile", percentile=p, **asked).withColumnRenamed("value", name)
+        for p, name in ((94.5, "low"), (95.5, "high"))
     )
+    return rough.join(low, "group_service").join(high, "group_service").select(
+        "group_service", F.col("value").between(F.floor("low"), F.ceil("high")).alias("within"))
+
+
+@query(
+    "close_values_percentile",
+    "SELECT l_returnflag, round(quantile_cont(CAST(1700000000 + l_orderkey AS DOUBLE), 0.95), 3) AS key_p95, "
+    "round(quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.5), 3) AS price_p50 FROM lineitem GROUP BY ALL",
+)
+def close_values_percentile(spark, sf):
+    """Percentiles of numbers of close magnitude, which share one coarse range."""
+    rows = fx.table(spark, sf, "lineitem").select(
+        "l_returnflag", (F.lit(1700000000) + F.col("l_orderkey")).cast("double").alias("key"),
+        F.col("l_extendedprice").cast("double").alias("price"))
+    keys = exact_quantile(rows, ["l_returnflag"], "key", 95.0, "key_p95")
+    prices = exact_quantile(rows, ["l_returnflag"], "price", 50.0, "price_p50")
+    return keys.join(prices, "l_returnflag").select(
+        "l_returnflag", F.round("key_p95", 3).alias("key_p95"), F.round("price_p50", 3).alias("price_p50"))
 
 
 @query(
