@@ -331,7 +331,7 @@ def raw_size(spark, sf):
     f"(SELECT doc_id, {fx.TEMPLATE_SQL.format(m='text')} AS message_template FROM documents)",
 )
 def log_templates(spark, sf):
-    rows = fx.table(spark, sf, "documents").select("doc_id", message_template(F.col("text")).alias("message_template"))
+    rows = fx.dealt(fx.table(spark, sf, "documents")).select("doc_id", message_template(F.col("text")).alias("message_template"))
     return rows.withColumn("template_id", template_id(F.col("message_template")))
 
 

@@ -114,7 +114,7 @@ def vector_topk(spark, sf):
     f"SELECT doc_id, len(list_intersect({WORDS.format('text')}, ['de', 'la'])) = 2 AS matches FROM documents",
 )
 def keyword_match(spark, sf):
-    rows = fx.table(spark, sf, "documents")
+    rows = fx.dealt(fx.table(spark, sf, "documents"))
     return rows.select("doc_id", has_all_tokens(F.col("text"), F.lit("<num> LA de la")).alias("matches"))
 
 

@@ -125,6 +125,14 @@ def distinct_letters(letters: DataFrame) -> DataFrame:
     )
 
 
+def new_letters(letters: DataFrame, stored: DataFrame) -> DataFrame:
+    """Letters whose (request_id, reason) no earlier micro-batch stored; those without a request id all stay."""
+    key = ["request_id", "reason"]
+    named = stored.filter(F.col("request_id") != "").select(*key)
+    hits = lookup_join(named, letters.select(*key).distinct(), key, how="left_semi").distinct()
+    return letters.join(hits, key, "left_anti").select(*letters.columns)
+
+
 # --- delivery semantics
 
 
@@ -286,7 +294,9 @@ def process_batch(
     `batch` names it; the same name again replaces the first try."""
     classified = classify(events).persist()
     try:
-        _write(distinct_letters(refused_letters(classified)), tables.dead_letters, batch)
+        letters = distinct_letters(refused_letters(classified))
+        earlier = _read_others(spark, tables.dead_letters, "request_id string, reason string", batch)
+        _write(new_letters(letters, earlier), tables.dead_letters, batch)
         good = classified.filter("reason IS NULL").withColumn("ingest_id", F.col("request_id"))
         good = good.withColumn("key_bucket", key_bucket())
         buckets = [r[0] for r in good.select("key_bucket").distinct().collect()]  # at most KEY_BUCKETS

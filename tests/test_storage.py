@@ -143,6 +143,9 @@ def test_a_repeated_micro_batch_replaces_itself(spark, tmp_path):
     assert pipeline.read_stored_logs(spark, tables).count() == expected
     letters = spark.read.parquet(tables.dead_letters)
     assert letters.count() == letters.select("request_id", "reason").distinct().count() > 0
+    # the same refused batches in another micro-batch give no second letter
+    pipeline.process_batch(spark, events, "process-1", tables)
+    assert spark.read.parquet(tables.dead_letters).count() == letters.count()
 
 
 def test_dead_letter_reasons(spark):
