@@ -33,6 +33,7 @@ def _text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+# fixed values: texts of complaints about batches and records, which callers match on
 def record_error(record: Column) -> Column:
     """First complaint about one record (fields as a map of typed values)."""
     stamp = trim_all(_text(record["timestamp"]))

@@ -16,6 +16,7 @@ FIELDS = [
     "service", "environment", "log_level", "fingerprint", "name", "rule_type", "severity",
     "filter_json", "group_by", "window_seconds", "threshold", "cooldown_seconds", "status",
 ]
+# fixed values: required columns, and below the texts of complaints, which callers match on
 REQUIRED = ["service", "environment", "name", "rule_type", "severity"]
 SAFE = ["service", "environment", "log_level", "fingerprint"]
 

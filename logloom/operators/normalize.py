@@ -33,6 +33,7 @@ def extract_field(fields: Column, loose: Column, names: list[str]) -> tuple[Colu
     return F.coalesce(trim_all(value_text(F.try_element_at(fields, first))), F.lit("")), keys
 
 
+# fixed values: texts of contract breaches, which dead letters carry
 def contract_error() -> Column:
     """First breach of the raw batch contract, NULL if there is none."""
 

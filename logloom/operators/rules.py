@@ -84,6 +84,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
     counted = kind.isin("count", "pattern")
     bad_json = has_filter & F.try_parse_json("filter_json").isNull()
     bad_groups = has_groups & F.col("_groups").isNull() & (trim_all("group_by") != "null")
+    # fixed values: texts of rule complaints, which callers match on
     error = F.coalesce(
         F.when(bad_json, "parse filter_json"),
         F.when(bad_groups, "parse group_by"),
