@@ -28,7 +28,8 @@ BLOCK = 1024
 def _turns(conversations: DataFrame) -> DataFrame:
     """Turns with copies folded into a count, their block and the digest that orders equal turns."""
     rows = conversations.select(
-        F.col("conv_id"), F.col("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("speaker"),
+        # a struct is never null and equals itself, so plain joins and windows share one exchange
+        F.struct("conv_id").alias("conv"), F.col("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     return rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("bigint"))
@@ -50,33 +51,29 @@ def rotate(conversations: DataFrame) -> DataFrame:
     turns = _turns(conversations)
     # speakers of a conversation; the join repeats turns once per speaker, not per pair of turns
     speakers = turns.filter(F.col("speaker") != SYSTEM).select(
-        F.col("conv_id").alias("of_conv"), F.col("speaker").alias("perspective")).distinct()
-    seen = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("of_conv"))).drop("of_conv")
+        "conv", F.col("speaker").alias("perspective")).distinct()
+    seen = turns.join(speakers, "conv")
     seen = seen.withColumn("segment", segment(F.col("perspective"), F.col("speaker"), F.col("text")))
     seen = seen.withColumn("length", F.length("segment").cast("bigint"))
-    inside = Window.partitionBy("conv_id", "perspective", "block").orderBy("turn", "speaker", "text")
+    inside = Window.partitionBy("conv", "perspective", "block").orderBy("turn", "speaker", "text")
     placed = seen.withColumns({
         "end_in": F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)),
         "nth_in": F.row_number().over(inside),
     })
-    sums = seen.groupBy("conv_id", "perspective", "block").agg(
+    sums = seen.groupBy("conv", "perspective", "block").agg(
         F.sum("length").alias("chars"), F.count("*").alias("turns"))
-    over = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("conv", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        F.col("conv_id").alias("o_conv"), F.col("perspective").alias("o_view"), F.col("block").alias("o_block"),
+        "conv", "perspective", "block",
         F.coalesce(F.sum("chars").over(over), F.lit(0)).alias("chars_before"),
         F.coalesce(F.sum("turns").over(over), F.lit(0)).alias("turns_before"),
     )
-    full = placed.join(
-        offsets,
-        F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("perspective") == F.col("o_view"))
-        & (F.col("block") == F.col("o_block")),
-    )
+    full = placed.join(offsets, ["conv", "perspective", "block"])
     own = F.col("speaker") == F.col("perspective")
     end = F.col("chars_before") + F.col("end_in")
     tail = F.length("text") + F.lit(len(END))
     return full.select(
-        "conv_id", "perspective", "turn",
+        "conv.conv_id", "perspective", "turn",
         (F.col("turns_before") + F.col("nth_in")).cast("bigint").alias("position"),
         F.when(F.col("speaker") == SYSTEM, "system").when(own, "assistant").otherwise("user").alias("role"),
         F.when((F.col("speaker") != SYSTEM) & ~own, F.col("speaker")).alias("name"),
