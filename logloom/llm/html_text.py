@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.text import small_batches
+
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>)", re.S)
@@ -228,6 +230,7 @@ def main_text(page: str | None, tree) -> str:
 def extract(pages: DataFrame, labelled: list[tuple] | None = None, html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     tree = fit_tree(labelled or LABELLED)
+    small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.text import small_batches
 from logloom.session import cut_lineage
 
 BUCKETS = 1 << 14
-CHUNK = 4_000_000  # bytes of text scored at once inside a batch
+CHUNK = 1_000_000  # bytes of text scored at once inside a batch
 EVIDENCE = 60.0  # trigrams a text counts for at most, so that other evidence keeps a say
 KAPPA = 20.0  # rows of the wider group that a prior is smoothed with
 MAX_HOSTS = 200_000  # host priors are broadcast up to this number, joined by shuffle beyond
@@ -95,6 +96,7 @@ class Model:
 
 def train(rows: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = 4000, least: int = 5) -> Model:
     """Trigram model of the languages that at least `least` of the sampled rows are labelled with."""
+    small_batches(rows.sparkSession)
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(label_col).alias("label"))
     labelled = labelled.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
     chosen = labelled.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
@@ -211,6 +213,7 @@ def identify(
         return rows.withColumn(out, F.struct(
             none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), none.alias("declared"),
             F.lit(False).alias("accepted")))
+    small_batches(rows.sparkSession)
     empty = F.lit("")
     evidence = F.struct(
         _code(declared if declared is not None else empty, model.languages).alias("declared"),

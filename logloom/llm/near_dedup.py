@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.text import row_keys
+from logloom.llm.text import row_keys, small_batches
 from logloom.session import cut_lineage
 
 SHINGLE = 5
@@ -368,6 +368,7 @@ def near_classes(
 
     `kept` marks the document whose id the class has; repeated rows of that document are all marked.
     """
+    small_batches(docs.sparkSession)
     rows = cut_lineage(sketch_rows(docs, id_col, text_col, sketches, take))
     vertices = rows.filter(F.col("vertex").isNotNull()).groupBy("vertex").agg(
         F.min(F.struct("k1", "k2", "size", "sketches")).alias("one")).select("vertex", "one.*")

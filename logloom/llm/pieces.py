@@ -31,9 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.text import small_batches
+
 MARK = "▁"
 LITERAL = "\ud800"  # stands for a U+2581 of the text; no valid text holds it
-CHUNK = 1_500_000  # characters encoded at once inside a batch
+CHUNK = 1_000_000  # characters encoded at once inside a batch
 RANK_SHIFT = 10.0
 BYTE_WEIGHT = 1e-6
 COMMON = 120  # letters with a dense table
@@ -313,6 +315,7 @@ def encode(
 ) -> DataFrame:
     """doc_id, ids, n_pieces and, with `check`, whether decoding gives the text back (null for null texts)."""
     path = model_file or default_model()
+    small_batches(rows.sparkSession)
     chosen = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _key(seed, F.col(id_col)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,6 +345,7 @@ def encode(
 def decode(rows: DataFrame, *, ids_col: str = "ids", out: str = "text", model_file: str | None = None) -> DataFrame:
     """`rows` with the text of their ids in `out`."""
     path = model_file or default_model()
+    small_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:

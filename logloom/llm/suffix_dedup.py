@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.text import small_batches
 from logloom.session import cut_lineage
 
 LENGTH = 400
@@ -410,6 +411,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, data (the text's bytes) and spans (start, end of repeated text, unmerged; null for none)."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

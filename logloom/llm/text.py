@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # white space of the word contract: blank and the characters 9 to 13
@@ -69,3 +69,14 @@ def row_keys(id_col: str, text_col: str) -> list[Column]:
     """Two hashes of id and text, never null: together the key of a row's content."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return [F.xxhash64(F.lit(n), F.col(id_col), text).alias(f"k{n}") for n in (1, 2)]
+
+
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most 1,000 rows at once: rows hold whole texts, and a worker keeps several
+    copies of a batch. A smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
