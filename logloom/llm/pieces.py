@@ -203,8 +203,6 @@ class Lattice:
             after = self.width[end + 1]
             before = [np.ones(after)] + [
                 np.minimum(b[:after] / total[:after], 1e290) for b in before[:self.piece.shape[1] - 1]]
-            if end + 1 < deepest and after != width:
-                before = [b[:after] for b in before]
 
 
 def _sample(vocab: Vocabulary, words: list[str], draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
