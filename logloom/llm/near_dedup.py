@@ -355,9 +355,17 @@ def _crossing(members: DataFrame, vertices: DataFrame, similarity: float, crowd:
     return _opened(few, similarity).unionByName(_neighbours(many, vertices)).distinct()
 
 
-def _relabel(members: DataFrame, labels: DataFrame) -> DataFrame:
-    found = labels.select(F.col("vertex").alias("root"), F.col("root").alias("better"))
-    return members.join(found, "root", "left").withColumn("root", F.coalesce("better", "root")).drop("better")
+def _led(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """`members` with the centre that a vertex is linked to as root, or that centre's own centre, and so on.
+
+    Edges lead from each vertex to a centre with more meetings, so there are no circles. Chains are followed
+    over four steps; a class that stays split further only brings more comparisons.
+    """
+    labels = edges.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
+    for _ in range(2):
+        via = labels.select(F.col("vertex").alias("root"), F.col("root").alias("further"))
+        labels = cut_lineage(labels.join(via, "root", "left").select("vertex", F.coalesce("further", "root").alias("root")))
+    return members.drop("root").join(labels, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
 
 
 def near_classes(
@@ -372,26 +380,20 @@ def near_classes(
     rows = cut_lineage(sketch_rows(docs, id_col, text_col, sketches, take))
     vertices = rows.filter(F.col("vertex").isNotNull()).groupBy("vertex").agg(
         F.min(F.struct("k1", "k2", "size", "sketches")).alias("one")).select("vertex", "one.*")
-    buckets = vertices.select("vertex", "size", F.explode("sketches").alias("bucket")).distinct()
+    vertices = cut_lineage(vertices)
+    buckets = vertices.select("vertex", "size", F.explode("sketches").alias("bucket"))
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = cut_lineage(buckets.join(crowded, "bucket").withColumn("root", F.col("vertex")))
     wanted = vertices.join(members.select("vertex").distinct(), "vertex").select("k1", "k2", "vertex")
     sequences = cut_lineage(_sequences(docs, id_col, text_col, wanted))
-
-    def link(pairs: DataFrame, members: DataFrame) -> DataFrame:
-        edges = _verified(pairs, sequences, similarity)
-        # between classes, so each round works on what is left to join
-        roots = members.select("vertex", "root").distinct()
-        edges = edges.join(roots.select(F.col("vertex").alias("a"), F.col("root").alias("ra")), "a").join(
-            roots.select(F.col("vertex").alias("b"), F.col("root").alias("rb")), "b")
-        labels = components(edges.filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        return cut_lineage(_relabel(members, labels))
-
-    pairs = cut_lineage(_centred(members, None))
-    members = link(pairs, members)
-    members = link(_centred(members, pairs.select(F.col("b").alias("vertex")).distinct()), members)
-    members = link(_crossing(members, vertices, similarity, crowd), members)
-    roots = members.select("vertex", "root").distinct()
+    # first to one centre; what is linked then meets its own class no more
+    first = cut_lineage(_centred(members, None))
+    linked = cut_lineage(_verified(first, sequences, similarity))
+    members = cut_lineage(_led(members, linked))
+    second = _centred(members, first.select(F.col("b").alias("vertex")).distinct()).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = second.unionByName(_crossing(members, vertices, similarity, crowd)).distinct()
+    roots = components(linked.unionByName(_verified(more, sequences, similarity)))
     classed = rows.join(roots, "vertex", "left").select(
         "doc_id", "k1", "k2",
         # copies share a vertex; texts without words stay alone under their own key
