@@ -266,12 +266,12 @@ def analytics_percentile_missing(spark, sf):
     ),
 )
 def analytics_percentile_approx(spark, sf):
-    """The sketched percentile lies between the exact ones half a percent of the ranks to either side."""
+    """The sketched percentile lies between the exact ones three percent of the ranks to either side."""
     asked = {"value_field": "field.duration_ms", "group_by": ["service"]}
     rough = _analytics(spark, sf, 1, "percentile", approximate=True, percentile=95, **asked)
     low, high = (
         _analytics(spark, sf, 1, "percentile", percentile=p, **asked).withColumnRenamed("value", name)
-        for p, name in ((94.5, "low"), (95.5, "high"))
+        for p, name in ((92, "low"), (98, "high"))
     )
     return rough.join(low, "group_service").join(high, "group_service").select(
         "group_service", F.col("value").between(F.floor("low"), F.ceil("high")).alias("within"))
