@@ -12,9 +12,10 @@ pair cannot leave, as a bit vector.
 
 Work per bucket (texts with an equal sketch) is not all pairs. First every text is compared with
 one centre of its buckets, twice with different centres; linked texts form classes. Then texts of
-different classes that still share a bucket are compared: all of them where few classes meet, and in
-crowded buckets each with its neighbours by the other sketches. So copies and near copies in
-any number cost some comparisons each, and a passage that very many texts share costs no square.
+different classes that still share a bucket are compared: all of them where few classes meet. Texts of
+crowded buckets are joined on their rarest shingles, one of which every similar pair shares, with as many shingles
+left behind it as a similar pair needs. So copies and near copies in any number cost some comparisons each, and a
+passage that very many texts share costs no square.
 
 Words are runs of letters, digits and non-ASCII characters in lower case. Texts with equal words are
 copies and share one vertex. Defined results: a text without words (null, empty, symbols only) is
@@ -27,11 +28,11 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.text import row_keys, small_batches
@@ -43,6 +44,9 @@ TAKE = 3
 CROWD = 32  # classes of a bucket that are all compared with each other
 SIMILARITY = 0.8
 CELLS = 1 << 18  # hashes held at once while sketching a text
+COUNTER_BITS = 20  # counters of shingle frequencies: 2 ** bits
+PARITY_BITS = 512  # bits of the parities that tell how much two sets of shingles differ at least
+DEALT = 64  # classes of a shingle that one task pairs with all others of it
 _LETTER = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
 _ODD = 0x9E3779B97F4A7C15
 
@@ -325,34 +329,132 @@ def _opened(rows: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _neighbours(rows: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs of different classes that stand side by side when a bucket is sorted by its members' other sketches.
+def _places(row: np.ndarray) -> np.ndarray:
+    """Shingles of a row, numbered by their occurrence: a matched shingle of two rows is an equal number in both."""
+    return (row.astype(np.int64) << 31) | occurrences(row)
 
-    Read on from the bucket's own sketch, and once more backwards, rows that agree in the most sketches in a
-    run become neighbours; each of the buckets of a vertex starts at another place.
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens.view(np.uint64)) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the shingles falls on each bit: two sets differ by at least as many shingles as bits."""
+    at = (mix(tokens.view(np.uint64)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _frequencies(sequences: DataFrame) -> np.ndarray:
+    """How often the numbered shingles of all rows occur, in counters that several shingles may share.
+
+    They only order shingles: any order that is the same for all rows gives the same result.
     """
-    others = rows.join(vertices.select("vertex", "sketches"), "vertex")
-    own = F.array_position("sketches", F.col("bucket")).cast("int")
-    onward = F.concat(F.slice("sketches", own, F.size("sketches")), F.slice("sketches", F.lit(1), own))
-    pairs = None
-    for order in (onward, F.reverse(onward)):
-        before = F.lag(F.struct("vertex", "root")).over(Window.partitionBy("bucket").orderBy("order", "vertex"))
-        found = others.withColumn("order", order).withColumn("before", before).filter(F.col("before.root") != F.col("root"))
-        found = found.select(F.least("vertex", "before.vertex").alias("a"), F.greatest("vertex", "before.vertex").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for batch in batches:
+            for row in batch.column("row"):
+                np.add.at(total, _counter(_places(np.frombuffer(row.as_py(), dtype="<u4"))), 1)
+        at = np.flatnonzero(total)
+        for low in range(0, len(at), 1 << 16):
+            part = at[low:low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["counter", "n"])
+
+    sums = sequences.select("row").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    # never more rows than counters
+    table = sums.select("counter", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, dtype=np.int32)
+    out[table.column("counter").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
+def _rare(rows: DataFrame, frequencies: np.ndarray, similarity: float) -> DataFrame:
+    """bucket (a numbered shingle), root, vertex, size, rest, parities: the rarest shingles of every vertex.
 
-def _crossing(members: DataFrame, vertices: DataFrame, similarity: float, crowd: int) -> DataFrame:
-    """Pairs of vertices of different classes with a sketch in common.
+    `rest` counts the shingles of the vertex from this one on in the order of frequency. A similar text has all but
+    (1 - similarity) * size of them, so one of the first that many and one more is shared; a shingle that
+    occurs once is shared by nobody.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, rests, which, sizes, bits = [], [], [], [], []
+            for k, row in enumerate(batch.column("row")):
+                tokens = _places(np.frombuffer(row.as_py(), dtype="<u4"))
+                n = len(tokens)
+                often = frequencies[_counter(tokens)]
+                first = min(n, int(n - similarity * n + 1e-6) + 1)
+                order = np.lexsort((tokens, often))[:first]
+                keep = np.flatnonzero(often[order] > 1)
+                parts.append(tokens[order[keep]])
+                rests.append(n - keep)
+                which.append(np.full(len(keep), k))
+                sizes.append(np.full(len(keep), n))
+                bits.append(_parities(tokens))
+            if not parts:
+                continue
+            at = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(parts)), batch.column("root").take(at), batch.column("vertex").take(at),
+                 pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(rests).astype(np.int32)),
+                 pa.array(bits, pa.list_(pa.int64())).take(at)],
+                ["bucket", "root", "vertex", "size", "rest", "parities"])
+
+    return rows.select("vertex", "root", "row").mapInArrow(
+        run, "bucket long, root binary, vertex binary, size int, rest int, parities array<long>")
+
+
+def _sharing(rare: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of vertices of different classes that share a rare shingle early enough to be similar.
+
+    Two rows of n and m shingles are similar with at least similarity * (n + m) / (1 + similarity) matches. These are
+    all from the rarest shared shingle on, so both rows must have that many left there; and the shingles that the
+    parities prove different must leave that many. Classes are paired first, on the best of their members (on the parities
+    too where a class has one), and then opened; a shingle of many classes is dealt to several tasks.
+    """
+    rare = cut_lineage(rare)
+    classes = rare.groupBy("bucket", "root").agg(F.min("size").alias("least"), F.max("rest").alias("most"), F.max("size").alias("largest"),
+        F.when(F.count("*") == 1, F.max("parities")).alias("parities"))
+    met = classes.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1")
+    classes = cut_lineage(classes.join(met, "bucket").withColumn("parts", F.ceil(F.col("classes") / DEALT).cast("int")))
+    def side(rows: DataFrame, end: str, names: tuple[str, ...], *keys: str) -> DataFrame:
+        return rows.select(*keys, *[F.col(n).alias(f"{n}_{end}") for n in names])
+
+    def enough(low: str, high: str, rest: str) -> Column:
+        needed = (F.col(f"{low}_a") + F.col(f"{low}_b")) * (similarity / (1 + similarity)) - 1e-6
+        differ = reduce(lambda x, y: x + y, [
+            F.bit_count(F.col("parities_a")[k].bitwiseXOR(F.col("parities_b")[k])) for k in range(PARITY_BITS // 64)])
+        common = (F.col(f"{high}_a") + F.col(f"{high}_b") - F.coalesce(differ, F.lit(0))) / 2
+        return (F.least(f"{rest}_a", f"{rest}_b") >= needed) & (common >= needed)
+
+    names = ("root", "least", "most", "largest", "parities")
+    one = side(classes.withColumn("part", F.pmod(F.xxhash64("root"), "parts").cast("int")), "a", names, "bucket", "part")
+    other = side(classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b", names, "bucket", "part")
+    paired = one.join(other, ["bucket", "part"]).filter(
+        (F.col("root_a") < F.col("root_b")) & enough("least", "largest", "most")).select("bucket", "root_a", "root_b")
+    names = ("root", "vertex", "size", "rest", "parities")
+    pairs = paired.join(side(rare, "a", names, "bucket"), ["bucket", "root_a"]).join(
+        side(rare, "b", names, "bucket"), ["bucket", "root_b"])
+    return pairs.filter(enough("size", "size", "rest")).select(
+        F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b"))
+
+
+def _crossing(members: DataFrame, sequences: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """Pairs of vertices of different classes with a sketch in common that can be similar.
 
     All of them in buckets of at most `crowd` classes. Where a sketch brings more classes together (a passage
-    that very many texts share) it says little; there a vertex meets its neighbours by the other sketches.
+    that very many texts share) it says little; vertices of such buckets meet by their rarest shingles instead,
+    which no similar pair escapes.
     """
     classes = members.select("bucket", "root").distinct().groupBy("bucket").agg(F.count("*").alias("classes"))
     rows = cut_lineage(members.join(classes.filter("classes > 1"), "bucket"))
     few, many = rows.filter(F.col("classes") <= crowd), rows.filter(F.col("classes") > crowd)
-    return _opened(few, similarity).unionByName(_neighbours(many, vertices)).distinct()
+    pairs = _opened(few, similarity)
+    crowded = many.select("vertex", "root").distinct()
+    if not many.isEmpty():
+        rare = _rare(crowded.join(sequences, "vertex"), _frequencies(sequences), similarity)
+        pairs = pairs.unionByName(_sharing(rare, similarity))
+    return pairs.distinct()
 
 
 def _led(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -392,7 +494,7 @@ def near_classes(
     members = cut_lineage(_led(members, linked))
     second = _centred(members, first.select(F.col("b").alias("vertex")).distinct()).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = second.unionByName(_crossing(members, vertices, similarity, crowd)).distinct()
+    more = second.unionByName(_crossing(members, sequences, similarity, crowd)).distinct()
     roots = components(linked.unionByName(_verified(more, sequences, similarity)))
     classed = rows.join(roots, "vertex", "left").select(
         "doc_id", "k1", "k2",

@@ -89,6 +89,39 @@ def test_classes_against_brute_force(spark):
     assert got == classes(rows)
 
 
+def test_families_that_share_most_of_their_text_with_a_crowd(spark):
+    # shingles of a text: 85 of all, 4 of its family, 11 of its own; 89 / 111 inside a family, 85 / 115 across
+    passage = [f"p{i}" for i in range(89)]
+    rows = []
+    for family in range(150):
+        for member in range(2):
+            own = [f"f{family}x{i}" for i in range(4)] + [f"o{family}x{member}x{i}" for i in range(11)]
+            rows.append((2 * family + member, " ".join(passage + own)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(frame).collect()}
+    assert got == {doc: doc - doc % 2 for doc, _ in rows}
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_rare_shingles_against_brute_force(spark, similarity):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(40) for _ in range(rng.randrange(1, 14))]) for i in range(60)]
+    for i in range(60, 200):
+        row = list(rng.choice(rows)[1])
+        for _ in range(rng.randrange(3)):
+            row[rng.randrange(len(row))] = rng.randrange(40)
+        rows.append((i, row))
+    packed = [(str(i).encode(), str(i).encode(), np.array(r, dtype="<u4").tobytes()) for i, r in rows]
+    frame = spark.createDataFrame(packed, "vertex binary, root binary, row binary")
+    rare = near_dedup._rare(frame, near_dedup._frequencies(frame.select("vertex", "row")), similarity)
+    got = {frozenset((bytes(r.a), bytes(r.b))) for r in near_dedup._sharing(rare, similarity).collect()}
+    for i, a in rows:
+        for j, b in rows[:i]:
+            common = sum((Counter(a) & Counter(b)).values())
+            if common >= similarity * (len(a) + len(b) - common) - 1e-9:
+                assert frozenset((str(i).encode(), str(j).encode())) in got
+
+
 def test_classes_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
