@@ -7,8 +7,9 @@ and smoothed towards the host's domain, that towards the address suffix, that to
 taken out of its host's count. How far a declaration can be trusted is counted too: the table
 P(declared | language) comes from one aggregation over all rows.
 
-The trigram model is fitted on at most `train_rows` labelled rows, picked by a hash of their id;
-counts and priors cover all rows. Texts are read whole.
+The trigram model is fitted on labelled rows picked by a hash of their id, for every language the same
+number at most: `train_rows` divided by the number of languages, and not under EACH. So a rare
+language is learned beside one that labels nearly all rows. Counts and priors cover all rows. Texts are read whole.
 
 Defined results: null, empty and letterless texts have no text likelihood; they get the language the
 other evidence favours and are not accepted. Unknown or null declarations, addresses and hosts say
@@ -27,7 +28,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.text import small_batches
@@ -36,6 +37,7 @@ from logloom.session import cut_lineage
 BUCKETS = 1 << 14
 CHUNK = 1_000_000  # bytes of text scored at once inside a batch
 EVIDENCE = 60.0  # trigrams a text counts for at most, so that other evidence keeps a say
+EACH = 50  # rows to learn from that every language may have, however many languages there are
 KAPPA = 20.0  # rows of the wider group that a prior is smoothed with
 MAX_HOSTS = 200_000  # host priors are broadcast up to this number, joined by shuffle beyond
 # bytes that are no letters become blanks; bytes of multi-byte characters stay
@@ -77,7 +79,11 @@ class Model:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Log likelihoods of the texts, relative to the best language; zeros for texts without letters."""
-        out = []
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the texts, and which texts have letters: relative scores do not tell with one language."""
+        out, has = [], []
         for chunk in _chunks([t or "" for t in texts]):
             grams, starts = _trigrams(chunk)
             counts = np.diff(starts)
@@ -88,19 +94,29 @@ class Model:
                     running = np.concatenate(([0.0], np.cumsum(self.table[k][grams], dtype=np.float64)))
                     scores[:, k] = running[starts[1:]] - running[starts[:-1]]
             lettered = np.array([any(c.isalpha() for c in t) for t in chunk], dtype=bool)
-            weight = np.where(some & lettered, np.minimum(counts, EVIDENCE) / np.maximum(counts, 1), 0.0)
+            lettered &= some
+            weight = np.where(lettered, np.minimum(counts, EVIDENCE) / np.maximum(counts, 1), 0.0)
             scores *= weight[:, None]
             out.append(scores - scores.max(axis=1, keepdims=True))
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
+            has.append(lettered)
+        if not out:
+            return np.zeros((0, len(self.languages))), np.zeros(0, dtype=bool)
+        return np.concatenate(out), np.concatenate(has)
 
 
 def train(rows: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int = 4000, least: int = 5) -> Model:
-    """Trigram model of the languages that at least `least` of the sampled rows are labelled with."""
+    """Trigram model of the languages that at least `least` rows are labelled with."""
     small_batches(rows.sparkSession)
     labelled = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lower(label_col).alias("label"))
     labelled = labelled.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull())
-    chosen = labelled.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    # bounded by train_rows, so it may be broadcast
+    ids = cut_lineage(labelled.groupBy("id").agg(F.min("label").alias("label")))
+    known = cut_lineage(ids.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("label"))
+    each = max(train_rows // max(known.count(), 1), EACH)
+    # every partition leaves out ranks above the bound before the exchange, so a language's task gets at most `each`
+    # ids of each partition; a join that deals by label would come before that, so the few labels are broadcast
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
+    chosen = ids.join(F.broadcast(known), "label", "left_semi").withColumn("nth", nth).filter(F.col("nth") <= each).select("id", "label")
+    # bounded per language, so it may be broadcast
     sample = labelled.join(F.broadcast(chosen), ["id", "label"]).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +177,10 @@ def _suffix(host: Column) -> Column:
 
 
 def _scorer(model: Model):
-    @F.pandas_udf("array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(model.score([t if isinstance(t, str) else None for t in texts])))
+    @F.pandas_udf("scores array<double>, lettered boolean")
+    def score(texts: pd.Series) -> pd.DataFrame:
+        scores, lettered = model.judge([t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame({"scores": list(scores), "lettered": lettered})
 
     return score
 
@@ -219,11 +236,11 @@ def identify(
         _code(declared if declared is not None else empty, model.languages).alias("declared"),
         _code(address if address is not None else empty, model.languages).alias("address"),
         F.coalesce(host if host is not None else empty, empty).alias("host"),
-        _scorer(model)(F.coalesce(F.col(text_col), empty)).alias("scores"),
+        _scorer(model)(F.coalesce(F.col(text_col), empty)).alias("judged"),
     )
     scored = rows.withColumn(out, evidence)
     thin = scored.select(f"{out}.*")
-    shares = _posterior(F.col("scores"), size)
+    shares = _posterior(F.col("judged.scores"), size)
     thin = thin.select("declared", "address", "host", *[s.alias(f"n{k}") for k, s in enumerate(shares)])
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(size)]
     # one pass over all texts gives the counts per host and declaration; the rest works on sums
@@ -240,21 +257,20 @@ def identify(
     joined = scored.join(
         F.broadcast(priors) if few else priors, F.col(f"{out}.host") == F.col(f"__{out}_host"), "left")
     tables = {c: _likelihoods(counted, c, model.languages) for c in ("declared", "address")}
-    own = _posterior(F.col(f"{out}.scores"), size)
-    lettered = reduce(lambda a, b: a | b, [F.col(f"{out}.scores")[k] < 0 for k in range(size)])
+    own = _posterior(F.col(f"{out}.judged.scores"), size)
     logs = []
     for k in range(size):
         left = [F.greatest(F.col(f"__{out}_n")[j] - own[j], F.lit(0.0)) for j in range(size)]
         mass = reduce(lambda a, b: a + b, left)
         prior = (left[k] + KAPPA * F.col(f"__{out}_p")[k]) / (mass + KAPPA)
-        value = F.col(f"{out}.scores")[k] + F.log(F.coalesce(prior, F.lit(1.0 / size)))
+        value = F.col(f"{out}.judged.scores")[k] + F.log(F.coalesce(prior, F.lit(1.0 / size)))
         for name, table in ((n, t) for n, t in tables.items() if t):
             value = value + reduce(
                 lambda c, item: c.when(F.col(f"{out}.{name}") == item[0], F.lit(item[1][k])), table.items(), F  # noqa: B023
             ).otherwise(F.lit(0.0))
         logs.append(value)
-    kept = joined.withColumn(out, F.struct(f"{out}.declared", lettered.alias("lettered"), F.array(*logs).alias("logs"),
-                                           F.col(f"{out}.scores").alias("scores")))
+    kept = joined.withColumn(out, F.struct(f"{out}.declared", f"{out}.judged.lettered", F.array(*logs).alias("logs"),
+                                           F.col(f"{out}.judged.scores").alias("scores")))
     top = F.array_max(f"{out}.logs")
     mass = F.aggregate(f"{out}.logs", F.lit(0.0), lambda total, x: total + F.exp(x - top))
     names = F.array(*[F.lit(x) for x in model.languages])

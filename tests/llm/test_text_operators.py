@@ -121,6 +121,28 @@ def test_language_edge_cases(spark, model):
     assert not language.identify(frame, none, text_col="text").filter("language.accepted").count()
 
 
+def test_table_in_one_language(spark):
+    rows = [(i, f"the words of row {i} are plain", "en", "web") for i in range(40)] + [(40, "12 34 !", "en", "web"), (41, None, "en", "web")]
+    frame = spark.createDataFrame(rows, "id bigint, text string, declared string, host string")
+    alone = language.train(frame, "id", "text", "declared")
+    assert alone.languages == ("en",)
+    found = language.identify(frame, alone, text_col="text", declared=F.col("declared"), host=F.col("host")).collect()
+    for r in found:
+        want = ("en", "en", True) if r.id < 40 else ("en", None, False)
+        assert (r.language.lang, r.language.text_lang, r.language.accepted) == want
+
+
+def test_rare_language_beside_a_common_one(spark):
+    # 6 of 60,006 rows, 0.01 %
+    common = spark.range(60000).select("id", F.concat(F.lit("the words of this row are plain "), "id").alias("text"), F.lit("en").alias("label"))
+    rare = spark.createDataFrame([(100000 + i, f"žluťoučký kůň příliš úpěl ďábelské ódy {i}", "cs") for i in range(6)], common.schema)
+    rows = common.unionByName(rare)
+    both = language.train(rows, "id", "text", "label")
+    assert both.languages == ("cs", "en")
+    found = language.identify(rows.filter("id < 50 or id >= 100000"), both, text_col="text").collect()
+    assert all(r.language.accepted and r.language.text_lang == r.label for r in found) and len(found) == 56
+
+
 def test_page_evidence(spark):
     rows = [("https://user@Blog.Example.org:8080/fr/1?x=2", "<!doctype html><HTML class=a lang='fr-CA'><script>var x='<p>';</script><p>Bonjour&amp;</p>")]
     frame = spark.createDataFrame(rows, "url string, html string")
