@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, html_text, language, licenses, near_dedup, pieces, quality, secrets, suffix_dedup
+from logloom.llm import (
+    chat,
+    clustering,
+    decontaminate,
+    html_text,
+    language,
+    licenses,
+    merkle,
+    mixing,
+    near_dedup,
+    pieces,
+    quality,
+    secrets,
+    suffix_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +104,19 @@ def op9(spark, sf_dir):
 @query("op10_html_text")
 def op10(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_source_mix")
+def op11(spark, sf_dir):
+    """Every document with its source's target and the words that the mix takes of it."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "times")
+
+
+@query("op12_clusters", clustering.oracle())
+def op12(spark, sf_dir):
+    return clustering.summary(clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query("op13_merkle_manifest", merkle.oracle())
+def op13(spark, sf_dir):
+    return merkle.audit(merkle.document_manifest(table(spark, sf_dir, "documents")))
