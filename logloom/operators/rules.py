@@ -210,17 +210,18 @@ LOG_SIDE = [
 ]
 
 
-def rule_rows(logs: DataFrame) -> DataFrame:
+def rule_rows(logs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The log columns rules can look at, with fields parsed once."""
     present = [c if c in logs.columns else F.lit("").alias(c) for c in LOG_SIDE]
-    extra = [c for c in ("event_date", "ingest_id") if c in logs.columns]
+    extra = [c for c in logs.columns if c in ("event_date", "ingest_id", *(carry or []))]
     return logs.select(*present, *extra, text_map("fields_json").alias("fields"))
 
 
 def match_rules(
-    logs: DataFrame, rules: DataFrame, window: Column | None = None, sized_by: DataFrame | None = None
+    logs: DataFrame, rules: DataFrame, window: Column | None = None, sized_by: DataFrame | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """(rule, row) matches: rule columns, timestamp, group_key and numeric value.
+    """(rule, row) matches: rule columns, timestamp, group_key and numeric value, and the columns of `carry`.
 
     `window` is an extra condition over the aliases l and r. Rows a percentile
     rule cannot read a number from are left out.
@@ -230,7 +231,7 @@ def match_rules(
         condition = window & condition
     # a row meets the rules of its own service and those of its whole tenant, not all rules of the tenant
     tenant, none = F.col("tenant_id").cast("bigint"), F.lit("")
-    rows = rule_rows(logs).withColumn("scope_key", F.explode(F.array_distinct(F.array(
+    rows = rule_rows(logs, carry).withColumn("scope_key", F.explode(F.array_distinct(F.array(
         F.xxhash64(tenant, F.coalesce("service", none), F.coalesce("environment", none)), F.xxhash64(tenant)))))
     keyed = rules.withColumn("scope_key", F.when(F.col("scope_service").isNull(), F.xxhash64(tenant)).otherwise(
         F.xxhash64(tenant, F.col("scope_service"), F.coalesce("scope_environment", none))))
@@ -253,11 +254,12 @@ def match_rules(
         "window_seconds",
         group_key(F.col("group_fields"), "", fields).alias("group_key"),
         value.alias("value"),
+        *(carry or []),
     )
     return matched.filter((F.col("kind") != "percentile") | F.col("value").isNotNull())
 
 
-def _measured(counts: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+def measured(counts: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
     """match_count and metric_value per key from (keys, kind, percentile, value, n)."""
     plain = (
         counts.filter(F.col("kind") != "percentile")
@@ -276,21 +278,21 @@ def _measured(counts: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame
         "rule_id", "tenant_id", "rule_name", "rule_type", "severity", "kind", "threshold",
         "window_seconds", "percentile", "value_field", "cooldown_seconds",
     )
-    measured = lookup_join(plain.unionByName(ranked), facts, ["rule_id"], sized_by=rules)
+    found = lookup_join(plain.unionByName(ranked), facts, ["rule_id"], sized_by=rules)
     rate = F.col("match_count") / F.col("window_seconds")
     metric = (
         F.when(F.col("kind") == "rate", rate)
         .when(F.col("kind") == "percentile", F.col("quantile"))
         .otherwise(F.lit(0.0))
     )
-    return measured.withColumn("metric_value", metric).drop("quantile")
+    return found.withColumn("metric_value", metric).drop("quantile")
 
 
-def triggered(measured: DataFrame) -> DataFrame:
+def triggered(found: DataFrame) -> DataFrame:
     reached = F.when(
         F.col("kind").isin("count", "pattern"), F.col("match_count") >= F.col("threshold")
     ).otherwise(F.col("metric_value") >= F.col("threshold"))
-    return measured.filter(reached)
+    return found.filter(reached)
 
 
 def _counted(matches: DataFrame, extra: list[str]) -> DataFrame:
@@ -369,7 +371,7 @@ def evaluate_newest(
         recent = _recent_days(logs, windowed) if "event_date" in logs.columns else logs
         matches = match_rules(recent, windowed, F.col("l.timestamp") >= F.col("r.since"), sized_by=rules).unionByName(
             match_rules(batch, anchored.filter("since IS NULL"), sized_by=rules))
-    return triggered(_measured(_counted(matches, []), ["group_key"], rules))
+    return triggered(measured(_counted(matches, []), ["group_key"], rules))
 
 
 def _recent_days(logs: DataFrame, anchored: DataFrame) -> DataFrame:
@@ -396,7 +398,7 @@ def evaluate_at(logs: DataFrame, rules: DataFrame, at: datetime | str) -> DataFr
     if "event_date" in logs.columns:
         logs = _recent_days(logs, windowed)
     matches = match_rules(logs, windowed, inside, sized_by=rules)
-    return triggered(_measured(_counted(matches, []), ["group_key"], rules))
+    return triggered(measured(_counted(matches, []), ["group_key"], rules))
 
 
 def evaluate_ticks(
@@ -431,4 +433,4 @@ def evaluate_ticks(
         .agg(F.sum("n").alias("n"))
         .withColumn("tick", F.timestamp_micros(origin + F.col("k") * step))
     )
-    return triggered(_measured(ticks, ["group_key", "tick"], rules))
+    return triggered(measured(ticks, ["group_key", "tick"], rules))

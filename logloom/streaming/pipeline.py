@@ -200,7 +200,12 @@ def read_alert_events(spark: SparkSession, tables: Tables) -> DataFrame:
 
 def read_alert_state(spark: SparkSession, tables: Tables, batch: str | None = None) -> DataFrame:
     """The newest snapshot (one row per rule and key), leaving out that of `batch`."""
-    return _snapshot(spark, tables.alert_state, STATE, batch)[0]
+    return alert_snapshot(spark, tables, batch)[0]
+
+
+def alert_snapshot(spark: SparkSession, tables: Tables, batch: str | None = None) -> tuple[DataFrame, int]:
+    """The newest snapshot of the alert state and its version."""
+    return _snapshot(spark, tables.alert_state, STATE, batch)
 
 
 def _snapshot(spark: SparkSession, path: str, schema: str, batch: str | None = None) -> tuple[DataFrame, int]:
@@ -352,18 +357,18 @@ def update_alerts(
     newest = scopes.unionByName(newest_rows(rows)).groupBy("tenant_id", "service", "environment").agg(
         F.max("newest").alias("newest"))
     newest = newest.persist()
-    current, step_version = _snapshot(spark, tables.alert_state, STATE, batch)
+    current, step_version = alert_snapshot(spark, tables, batch)
     triggers = evaluate_newest(read_stored_logs(spark, tables), evaluated, newest, rows)
     step = reconcile(triggers, current, evaluated).persist()
     try:
-        _store_step(step, compiled, rules, batch, tables, step_version + 1)
+        store_step(step, compiled, rules, batch, tables, step_version + 1)
         _store_snapshot(newest, tables.alert_scopes, batch, version + 1)
     finally:
         step.unpersist()
         newest.unpersist()
 
 
-def _store_step(
+def store_step(
     step: DataFrame, compiled: DataFrame, rules: DataFrame, batch: str, tables: Tables, version: int
 ) -> None:
     """Store one step of the alert state: changes, event log with payloads, outbox, and the state last."""
@@ -400,7 +405,7 @@ def evaluate_scheduled(
     current, version = _snapshot(spark, tables.alert_state, STATE, batch)
     step = reconcile(triggers, current, windowed).persist()
     try:
-        _store_step(step, compiled, rules, batch, tables, version + 1)
+        store_step(step, compiled, rules, batch, tables, version + 1)
     finally:
         step.unpersist()
 
