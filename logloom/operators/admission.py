@@ -224,14 +224,30 @@ def rate_limit(
     limit: str = "rate_limit",
     arrival: str = "received_at",
     ties: list[str] | None = None,
+    spent: DataFrame | None = None,
 ) -> DataFrame:
     """Add `admitted`: the first `limit` requests of a key in each whole second.
-    A limit or key that is not positive always admits."""
+    A limit or key that is not positive always admits.
+
+    `spent` (key, second, used) has requests admitted before these, as `spending` counts them.
+    """
     unlimited = (F.coalesce(key, F.lit(0)) <= 0) | (F.coalesce(limit, F.lit(0)) <= 0)
     free = requests.filter(unlimited).withColumn("admitted", F.lit(True))
     bound = requests.filter(~unlimited).withColumn("_second", F.date_trunc("second", arrival))
-    ranked = admit_first(bound, [key, "_second"], [arrival, *(ties or [])], limit, "admitted")
-    return ranked.drop("_second").unionByName(free)
+    if spent is not None:
+        used = spent.groupBy(key, F.col("second").alias("_second")).agg(F.sum("used").alias("_used"))
+        bound = lookup_join(bound, used, [key, "_second"], how="left")
+    else:
+        bound = bound.withColumn("_used", F.lit(0))
+    bound = bound.withColumn("_left", F.col(limit) - F.coalesce("_used", F.lit(0)))
+    ranked = admit_first(bound, [key, "_second"], [arrival, *(ties or [])], "_left", "admitted")
+    return ranked.drop("_second", "_used", "_left").unionByName(free)
+
+
+def spending(limited: DataFrame, key: str = "api_key_id", limit: str = "rate_limit", arrival: str = "received_at") -> DataFrame:
+    """Admitted requests per key and second: (key, second, used), for keys with a limit."""
+    counted = limited.filter(F.col("admitted") & (F.col(key) > 0) & (F.col(limit) > 0))
+    return counted.groupBy(key, F.date_trunc("second", arrival).alias("second")).agg(F.count("*").alias("used"))
 
 
 def key_last_used(api_keys: DataFrame, authorized: DataFrame, arrival: str = "received_at") -> DataFrame:

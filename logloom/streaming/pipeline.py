@@ -53,7 +53,7 @@ class Tables:
     def __getattr__(self, name: str) -> str:
         if name not in (
             "raw_events", "rejects", "logs", "dead_letters", "ingested", "alert_state", "alert_scopes", "alert_events",
-            "alert_log", "deliveries", "checkpoints",
+            "alert_log", "deliveries", "checkpoints", "admit_spent", "admit_outcomes",
         ):
             raise AttributeError(name)
         return f"{self.root}/{name}"
@@ -223,6 +223,46 @@ def _store_snapshot(rows: DataFrame, path: str, batch: str, version: int) -> Non
 # --- admission stream
 
 
+SPENT = "api_key_id bigint, second timestamp, used bigint"
+OUTCOMES = "outcome string, requests bigint, accepted_batches bigint, accepted_logs bigint, accepted_bytes bigint"
+
+
+def judge(
+    bodies: DataFrame,
+    authorise: Callable[[DataFrame], DataFrame] | None = None,
+    limits: Limits = DEFAULT,
+    spent: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Decoded bodies with their `outcome`: authorized, a refusal, or invalid_request; and `reason`, the complaint
+    or the refusal of those that do not go on.
+
+    Where `authorise` also adds `api_key_id` and `rate_limit`, authorised requests beyond the limit of their
+    key and second are rate_limited. `spent` gives the counters of earlier micro-batches for the requests it gets.
+    """
+    decided = admission.validate_batches(decode_batches(bodies, limits), limits)
+    accepted = admission.canonical_batches(decided.filter("reason IS NULL"))
+    judged = accepted.withColumn("outcome", F.lit("authorized")) if authorise is None else authorise(accepted)
+    if {"api_key_id", "rate_limit"} <= set(judged.columns):
+        allowed = judged.filter("outcome = 'authorized'").withColumn("_arrived", normalize.parse_instant("received_at"))
+        # the join with the counters and the ranks work on what was decided, not on the JSON again
+        limited = admission.rate_limit(
+            allowed, arrival="_arrived", ties=["body"], spent=None if spent is None else spent(allowed))
+        judged = limited.drop("_arrived").withColumn(
+            "outcome", F.when(F.col("admitted"), F.col("outcome")).otherwise("rate_limited")
+        ).drop("admitted").unionByName(judged.filter("outcome <> 'authorized'"))
+    judged = judged.withColumn("reason", F.when(F.col("outcome") != "authorized", F.col("outcome")))
+    broken = decided.filter("reason IS NOT NULL").drop("logs").withColumn("outcome", F.lit("invalid_request"))
+    return judged.unionByName(broken, allowMissingColumns=True)
+
+
+def admitted_and_refused(judged: DataFrame, received_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(raw events, rejected bodies) of judged bodies."""
+    good = F.col("outcome") == "authorized"
+    refused = judged.filter(~good).select(
+        "body", "reason", F.when(F.col("outcome") == "invalid_request", F.col("decode_error")).alias("decode_error"))
+    return admission.to_raw_events(judged.filter(good), received_at), refused
+
+
 def admit(
     bodies: DataFrame,
     received_at: Column,
@@ -231,20 +271,29 @@ def admit(
 ) -> tuple[DataFrame, DataFrame]:
     """(raw events, rejected bodies) of a table of JSON bodies.
 
-    `authorise` adds `outcome` and `tenant_id`; without it the bodies carry their
-    tenant_id and all are allowed.
+    `authorise` adds `outcome` and `tenant_id`, and `api_key_id` and `rate_limit` where keys have limits; without it
+    the bodies carry their tenant_id and all are allowed.
     """
-    decided = admission.validate_batches(decode_batches(bodies, limits), limits)
-    accepted = admission.canonical_batches(decided.filter("reason IS NULL"))
-    rejected = decided.filter("reason IS NOT NULL").select("body", "reason", "decode_error")
-    if authorise is not None:
-        judged = authorise(accepted)
-        refused = judged.filter("outcome <> 'authorized'").select(
-            "body", F.col("outcome").alias("reason"), F.lit(None).cast("string").alias("decode_error")
-        )
-        rejected = rejected.unionByName(refused)
-        accepted = judged.filter("outcome = 'authorized'")
-    return admission.to_raw_events(accepted, received_at), rejected
+    return admitted_and_refused(judge(bodies, authorise, limits), received_at)
+
+
+def spent_before(spark: SparkSession, tables: Tables, batch: str) -> Callable[[DataFrame], DataFrame]:
+    """Reader of the counters that earlier micro-batches left for the hours of some requests; only these hours are read."""
+
+    def read(requests: DataFrame) -> DataFrame:
+        hour = F.date_trunc("hour", "_arrived")
+        first, last = requests.agg(F.min(hour), F.max(hour)).first()
+        stored = _read_others(spark, tables.admit_spent, f"{SPENT}, hour timestamp", batch)
+        return stored.filter(F.col("hour").between(F.lit(first), F.lit(last))).select("api_key_id", "second", "used")
+
+    return read
+
+
+def read_outcomes(spark: SparkSession, tables: Tables) -> DataFrame:
+    """Requests per outcome, accepted batches, logs and bytes over all micro-batches."""
+    stored = _read_others(spark, tables.admit_outcomes, OUTCOMES)
+    names = [part.split()[0] for part in OUTCOMES.split(", ")][1:]
+    return stored.groupBy("outcome").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def admit_stream(
@@ -255,20 +304,32 @@ def admit_stream(
     **trigger,
 ) -> StreamingQuery:
     """Start the admission query on a streaming DataFrame with `body`, `received_at`
-    (text) and either `tenant_id` or the columns `authorise` needs."""
+    (text) and either `tenant_id` or the columns `authorise` needs.
+
+    Counters of limited keys are stored per (key, second) beside each micro-batch and read back by the hour, so
+    the limit holds across micro-batches and restarts: the result is that of `rate_limit` over all requests, as long as
+    requests come in the order they arrived. Outcomes are counted per micro-batch.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        key = batch_key("admit", batch_id)
-        batch.persist()
+        spark, key = batch.sparkSession, batch_key("admit", batch_id)
+        judged = judge(batch, authorise, limits, spent_before(spark, tables, key)).persist()
         try:
-            events, rejected = admit(batch, F.col("received_at"), authorise, limits)
+            events, rejected = admitted_and_refused(judged, F.col("received_at"))
             numbered = events.withColumn("msg_id", message_id()).withColumn(
                 "stored_at", F.current_timestamp()
             )
-            _write(numbered, tables.raw_events, key)
             _write(rejected, tables.rejects, key)
+            _write(admission.outcome_counts(judged.select(
+                "outcome", F.size("logs").alias("log_count"), F.octet_length("body").alias("body_bytes"))), tables.admit_outcomes, key)
+            if {"api_key_id", "rate_limit"} <= set(judged.columns):
+                arrived = judged.filter("outcome = 'authorized'").select(
+                    "api_key_id", "rate_limit", normalize.parse_instant("received_at").alias("received_at"), F.lit(True).alias("admitted"))
+                _write(admission.spending(arrived).withColumn("hour", F.date_trunc("hour", "second")), tables.admit_spent, key, ("hour",))
+            # what readers follow comes last
+            _write(numbered, tables.raw_events, key)
         finally:
-            batch.unpersist()
+            judged.unpersist()
 
     return (
         bodies.writeStream.foreachBatch(store)
