@@ -135,9 +135,10 @@ def hybrid_search_many(
         .filter(F.col("rank") <= k)
         .drop("_salt")
     )
-    texts = rows.select("tenant_id", "template_id", "message_template")
-    return lookup_join(texts, best, ["tenant_id", "template_id"]).select(
-        "question_id", "template_id", "message_template", "score", "rank")
+    # equal rows are winners of their own, but a template has one text
+    key = ["tenant_id", "template_id"]
+    won = lookup_join(rows.select(*key, "message_template"), best.select(*key).distinct(), key, how="left_semi")
+    return best.join(won.dropDuplicates(key), key).select("question_id", "template_id", "message_template", "score", "rank")
 
 
 def template_evidence(

@@ -179,3 +179,13 @@ def test_scheduled_evaluation_resolves_without_new_rows(spark, tmp_path):
     pipeline.evaluate_scheduled(spark, tables, ready, (at + dt.timedelta(hours=1)).replace(tzinfo=dt.timezone.utc))
     kinds = [r["event_type"] for r in pipeline.read_alert_events(spark, tables).orderBy("created_at").collect()]
     assert kinds == ["triggered", "resolved"]
+
+
+def test_equal_templates_win_once_each(spark):
+    vectors = spark.createDataFrame(
+        [(1, "t1", "disk full", "m", 2, [1.0, 0.0])] * 2 + [(1, "t2", "disk slow", "m", 2, [0.6, 0.8]), (2, "t1", "disk full", "m", 2, [1.0, 0.0])],
+        "tenant_id bigint, template_id string, message_template string, model string, dims int, embedding array<float>")
+    asked = spark.createDataFrame([(9, 1, [1.0, 0.0], "disk")], "question_id bigint, tenant_id bigint, vector array<float>, question string")
+    found = retrieval.hybrid_search_many(vectors, asked, "m", 2, 5).collect()
+    assert sorted((r["rank"], r["template_id"], r["message_template"]) for r in found) == [
+        (1, "t1", "disk full"), (2, "t1", "disk full"), (3, "t2", "disk slow")]
