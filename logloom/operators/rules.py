@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logloom.functions.jsonfields import NUMERIC, numeric_text, text_map
 from logloom.functions.text import contains_ignore_case, trim_all
 from logloom.functions.timefns import as_datetime, instant, plus_seconds
+from logloom.operators.binding import bind
 from logloom.operators.quantiles import quantile_of_counts
 from logloom.operators.search import in_scope, newest_first
 from logloom.operators.skew import lookup_join
@@ -217,6 +218,60 @@ def rule_rows(logs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     return logs.select(*present, *extra, text_map("fields_json").alias("fields"))
 
 
+def _index_key(number: int, *parts: Column) -> Column:
+    """Key of an index entry: tenant and the values a rule asks for, told apart by the entry's kind."""
+    tenant = F.col("tenant_id").cast("bigint")
+    return F.xxhash64(F.lit(number), tenant, *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+# columns of an index entry, the most selective first; the last one holds rules of a whole tenant
+INDEX = [("fingerprint",), ("trace_id",), ("host",), ("service", "environment"), ("service",), ("source",), ("level",), ()]
+FEW_KEYS = 1_000
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Rules with `index_kind` and `index_key`: each rule stands under its most selective equality alone, so a row meets
+    it at most once, and only if it has the value."""
+    wanted = {
+        name: F.nullif(F.col(f"f_{name}"), F.lit("")) for name in ("fingerprint", "trace_id", "host", "service", "source", "level")
+    }
+    asked = {
+        (name,): (wanted[name].isNotNull(), (wanted[name],)) for name in wanted
+    } | {
+        # a rule of one service has its scope; services are told from the filter's by both values
+        ("service", "environment"): (F.col("scope_service").isNotNull(), (F.col("scope_service"), F.col("scope_environment"))),
+        (): (F.lit(True), ()),
+    }
+    kinds = F.coalesce(*[F.when(asked[columns][0], F.lit(n)) for n, columns in enumerate(INDEX)])
+    keys = F.coalesce(*[F.when(F.col("index_kind") == n, _index_key(n, *asked[columns][1])) for n, columns in enumerate(INDEX)])
+    return rules.withColumn("index_kind", kinds).withColumn("index_key", keys)
+
+
+def indexed(logs: DataFrame, rules: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Log rows once per index key that a rule may stand under, and the rules with their key.
+
+    Rows get keys of the kinds in use only (the driver fetches at most one number per kind). With few rules, rows
+    without any rule's key are left out before their fields are parsed; with many, the join does that.
+    """
+    keyed = rule_index(rules)
+    entries = keyed.select("index_kind", "index_key").distinct().limit(FEW_KEYS + 1).collect()
+    if len(entries) > FEW_KEYS:
+        kinds, keys = sorted(r[0] for r in keyed.select("index_kind").distinct().collect()), None
+    else:
+        kinds, keys = sorted({r[0] for r in entries}), [r[1] for r in entries]
+    own = [_index_key(n, *[F.col(c) for c in INDEX[n]]) for n in kinds]
+    if keys is not None:
+        own = [F.when(k.isin(keys), k) for k in own]
+    found = F.array_compact(F.array(*own)) if own else F.array().cast("array<bigint>")
+    present = logs
+    for c in LOG_SIDE:
+        if c not in logs.columns:
+            present = present.withColumn(c, F.lit(""))
+    met = bind(present, "index_keys", found).filter(F.size("index_keys") > 0)
+    rows = rule_rows(met, [*(carry or []), "index_keys"])
+    return rows.withColumn("index_key", F.explode("index_keys")).drop("index_keys"), keyed.drop("index_kind")
+
+
 def match_rules(
     logs: DataFrame, rules: DataFrame, window: Column | None = None, sized_by: DataFrame | None = None,
     carry: list[str] | None = None,
@@ -229,13 +284,8 @@ def match_rules(
     condition = scope_condition() & filter_condition()
     if window is not None:
         condition = window & condition
-    # a row meets the rules of its own service and those of its whole tenant, not all rules of the tenant
-    tenant, none = F.col("tenant_id").cast("bigint"), F.lit("")
-    rows = rule_rows(logs, carry).withColumn("scope_key", F.explode(F.array_distinct(F.array(
-        F.xxhash64(tenant, F.coalesce("service", none), F.coalesce("environment", none)), F.xxhash64(tenant)))))
-    keyed = rules.withColumn("scope_key", F.when(F.col("scope_service").isNull(), F.xxhash64(tenant)).otherwise(
-        F.xxhash64(tenant, F.col("scope_service"), F.coalesce("scope_environment", none))))
-    joined = lookup_join(rows, keyed.withColumnRenamed("tenant_id", "rule_tenant"), ["scope_key"],
+    rows, keyed = indexed(logs, rules, carry)
+    joined = lookup_join(rows, keyed.withColumnRenamed("tenant_id", "rule_tenant"), ["index_key"],
                          (F.col("l.tenant_id") == F.col("r.rule_tenant")) & condition, sized_by=sized_by)
     fields = F.col("fields")
     number = F.when(F.col("value_field") == "raw_size_bytes", F.col("raw_size_bytes").cast("double")).otherwise(
@@ -296,9 +346,10 @@ def triggered(found: DataFrame) -> DataFrame:
 
 
 def _counted(matches: DataFrame, extra: list[str]) -> DataFrame:
-    return matches.groupBy("rule_id", "group_key", *extra, "kind", "percentile", "value").agg(
+    """Matches per rule, group and value, stored once: measuring reads them several times, the logs are read once."""
+    return cut_lineage(matches.groupBy("rule_id", "group_key", *extra, "kind", "percentile", "value").agg(
         F.count("*").alias("n")
-    )
+    ))
 
 
 def alert_records(

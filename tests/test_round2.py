@@ -189,3 +189,28 @@ def test_equal_templates_win_once_each(spark):
     found = retrieval.hybrid_search_many(vectors, asked, "m", 2, 5).collect()
     assert sorted((r["rank"], r["template_id"], r["message_template"]) for r in found) == [
         (1, "t1", "disk full"), (2, "t1", "disk full"), (3, "t2", "disk slow")]
+
+
+def test_rules_stand_under_their_most_selective_equality(spark):
+    names = ["fingerprint", "trace_id", "host", "service", "source", "level"]
+    def rule(rule_id, scope=(None, None), **asked):
+        return (rule_id, 1, *scope, *[asked.get(n, "") for n in names])
+    schema = "rule_id bigint, tenant_id bigint, scope_service string, scope_environment string, " + ", ".join(f"f_{n} string" for n in names)
+    table = spark.createDataFrame([
+        rule(1, level="error", fingerprint="abc"), rule(2, ("pay", "prod"), level="error"), rule(3, service="pay"), rule(4), rule(5, level="error")], schema)
+    kinds = {r["rule_id"]: rules.INDEX[r["index_kind"]] for r in rules.rule_index(table).collect()}
+    assert kinds == {1: ("fingerprint",), 2: ("service", "environment"), 3: ("service",), 4: (), 5: ("level",)}
+    logs = spark.createDataFrame(
+        [(1, "pay", "prod", "error", "abc"), (1, "pay", "dev", "info", "x"), (1, "web", "prod", "info", "x"), (2, "pay", "prod", "error", "abc")],
+        "tenant_id bigint, service string, environment string, level string, fingerprint string").withColumn("fields_json", F.lit("{}"))
+
+    def met(ruled):
+        rows, keyed = rules.indexed(logs, ruled)
+        return sorted((r["service"], r["environment"], r["rule_id"]) for r in rows.join(
+            keyed.select("index_key", "rule_id"), "index_key").collect())
+
+    everyone = [("pay", "dev", 4), ("pay", "prod", 4), ("web", "prod", 4)]
+    assert met(table) == sorted(everyone + [("pay", "prod", 1), ("pay", "prod", 2), ("pay", "prod", 3), ("pay", "dev", 3), ("pay", "prod", 5)])
+    # rows that no rule can mean are gone before their fields are parsed
+    rows, _ = rules.indexed(logs, table.filter("rule_id IN (1, 2)"))
+    assert rows.select("tenant_id").distinct().count() == 1 and rows.count() == 2
