@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.text import small_batches
@@ -265,8 +265,7 @@ def summary(found: Clusters) -> DataFrame:
     per = found.rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("cluster_inertia"))
     # one row per centroid on this side, so the join may broadcast it
     names = spark.createDataFrame(marks, "cluster int, centroid_sha256 string").join(per, "cluster")
-    total = names.agg(F.sum("cluster_inertia").cast("bigint").alias("inertia"))
-    side = names.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
+    side = names.withColumn("inertia", F.sum("cluster_inertia").over(Window.partitionBy(F.lit(0))).cast("bigint"))
     return found.rows.join(F.broadcast(side), "cluster").select(
         F.col("id").alias("vec_id"), "cluster", "distance", F.col("cluster_inertia").cast("bigint").alias("cluster_inertia"),
         "inertia", "centroid_sha256")
