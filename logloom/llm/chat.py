@@ -52,7 +52,8 @@ def rotate(conversations: DataFrame) -> DataFrame:
     # speakers of a conversation; the join repeats turns once per speaker, not per pair of turns
     speakers = turns.filter(F.col("speaker") != SYSTEM).select(
         "conv", F.col("speaker").alias("perspective")).distinct()
-    seen = turns.join(speakers, "conv")
+    # dealt by block, whichever way Spark joins: after a join by conversation the windows would otherwise take its exchange
+    seen = turns.join(speakers, "conv").repartition("conv", "perspective", "block")
     seen = seen.withColumn("segment", segment(F.col("perspective"), F.col("speaker"), F.col("text")))
     seen = seen.withColumn("length", F.length("segment").cast("bigint"))
     inside = Window.partitionBy("conv", "perspective", "block").orderBy("turn", "speaker", "text")

@@ -234,3 +234,19 @@ def test_page_edge_cases(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in html_text.extract(frame).collect())
     assert got[:3] == [(0, 0), (1, 1), (1, 1)] and got[3] == (2, 20_000 * 5 - 1)
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+def test_a_hot_conversation_is_dealt_by_block_without_a_broadcast(spark):
+    turns = spark.createDataFrame([(1, n, "user" if n % 2 else "bot", "x") for n in range(5000)], "conv_id bigint, turn bigint, role string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = chat.rotate(turns)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(conv#" in plan and out.count() == 10_000
+        windows = [line for line in plan.splitlines() if "hashpartitioning(conv" in line and "block" in line]
+        assert windows
+        ends = out.filter("perspective = 'bot'").orderBy("position").select("start", "end").collect()
+        assert all(a["end"] == b["start"] for a, b in zip(ends, ends[1:]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
