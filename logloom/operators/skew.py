@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.functions.timefns import epoch_slice
+from logloom.session import cut_lineage
 
 LOOKUP_ROWS = 50_000
 LOOKUP_BYTES = 32 << 20
 SALTS = 64
 SLICE_SECONDS = 3600
+SLICE_ROWS = 1_000_000
+FINER = 60
 
 _ATOMIC = (T.StringType, T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType)
 
@@ -78,6 +80,36 @@ def lookup_join(
     return joined.select(*kept)
 
 
+def time_slices(
+    df: DataFrame, keys: list[str], time: str, slice_seconds: int = SLICE_SECONDS, max_rows: int = SLICE_ROWS
+) -> DataFrame:
+    """Add `_slice`: the start (epoch microseconds) of a time interval that holds at most `max_rows` rows of a key.
+
+    Intervals are `slice_seconds` long; those that hold more are cut in 60, again and again, down to a microsecond.
+    Intervals of a key never overlap, so their starts order them. Rows are counted by a hash of the key: two keys
+    with one hash merely share their cuts. Rows of one key and one microsecond stay together; so do rows without a time.
+    Counts are combined before the shuffle, and each level counts only the rows of the crowded intervals above it.
+    """
+    at = F.unix_micros(time)
+    width = slice_seconds * 1_000_000
+    sliced = df.withColumn("_key", F.xxhash64(*keys)).withColumn("_slice", at - F.pmod(at, F.lit(width)))
+    slim = sliced.select("_key", "_slice", at.alias("_at"))
+    while width > 1:
+        counts = slim.filter(F.col("_at").isNotNull()).groupBy("_key", "_slice").count()
+        crowded = cut_lineage(counts.filter(F.col("count") > max_rows).select("_key", "_slice"))
+        if crowded.isEmpty():
+            break
+        width = max(1, width // FINER)
+
+        def finer(instant: Column, step: int = width) -> Column:
+            return instant - F.pmod(instant - F.col("_slice"), F.lit(step))
+
+        slim = lookup_join(slim, crowded, ["_key", "_slice"], how="left_semi").withColumn("_slice", finer(F.col("_at")))
+        marked = lookup_join(sliced, crowded.withColumn("_crowded", F.lit(True)), ["_key", "_slice"], how="left")
+        sliced = marked.withColumn("_slice", F.when(F.col("_crowded"), finer(at)).otherwise(F.col("_slice"))).drop("_crowded")
+    return sliced.drop("_key")
+
+
 def with_previous(
     df: DataFrame,
     keys: list[str],
@@ -85,17 +117,18 @@ def with_previous(
     ties: list[str],
     carry: list[str],
     slice_seconds: int = SLICE_SECONDS,
+    max_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add `prev_<c>`: the value on the preceding row of the same key.
 
-    Rows are windowed per (key, time slice). Only the first and last row of each
+    Rows are windowed per (key, time slice of at most about `max_rows` rows). Only the first and last row of each
     slice take part in a second window over the whole key, which supplies the
     previous row across slice borders. (time, ties) must be a total order.
     """
     order = [time, *ties]
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     marked = (
-        df.withColumn("_slice", epoch_slice(time, slice_seconds))
+        time_slices(df, keys, time, slice_seconds, max_rows)
         .withColumn("_prev", F.lag(F.struct(*carry)).over(inside))
         .withColumn("_last", F.lead(F.lit(1)).over(inside).isNull())
     )
@@ -120,13 +153,14 @@ def carry_forward(
     value: str,
     output: str,
     slice_seconds: int = SLICE_SECONDS,
+    max_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add `output`: the last non-NULL `value` at or before each row of its key."""
     order = [time, *ties]
     running = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    sliced = df.withColumn("_slice", epoch_slice(time, slice_seconds))
+    sliced = time_slices(df, keys, time, slice_seconds, max_rows)
     inside = sliced.withColumn("_run", F.last(value, ignorenulls=True).over(running))
     closing = sliced.filter(F.col(value).isNotNull()).groupBy(*keys, "_slice").agg(
         F.max_by(F.col(value), F.struct(*order)).alias("_close")

@@ -36,6 +36,53 @@ def test_previous_row(events):
     assert rows(ours.na.fill(-1), "id", "prev_id", "prev_x") == rows(plain.na.fill(-1), "id", "prev_id", "prev_x")
 
 
+@pytest.fixture(scope="module")
+def burst(spark):
+    """A third of the rows belongs to one key within two seconds; one instant repeats; some times are missing."""
+    rng = random.Random(11)
+    data = []
+    for i in range(9000):
+        if i % 3 == 0:
+            key, micros = "hot", 7_200_000_000 + rng.randrange(2_000_000)
+        elif i % 50 == 1:
+            key, micros = "tied", 7_300_000_000
+        else:
+            key, micros = rng.choice([None, *(f"k{n}" for n in range(20))]), rng.randrange(6 * 3_600_000_000)
+        data.append((i, key, None if i % 97 == 0 else micros, rng.choice([None, rng.randrange(5)])))
+    df = spark.createDataFrame(data, "id long, key string, micros long, value int")
+    return df.withColumn("ts", F.timestamp_micros("micros")).cache()
+
+
+@pytest.mark.parametrize("bound", [-1, 32 << 20])
+def test_a_burst_within_one_slice_is_cut_by_volume(spark, burst, bound, monkeypatch):
+    monkeypatch.setattr(skew, "LOOKUP_BYTES", bound)  # -1: cuts are joined, not broadcast
+    sliced = skew.time_slices(burst, ["key"], "ts", max_rows=100)
+    sizes = sliced.filter("ts is not null").groupBy("key", "_slice").agg(
+        F.count("*").alias("n"), F.min("micros").alias("low"), F.max("micros").alias("high")).collect()
+    assert sum(r.n for r in sizes) == burst.filter("ts is not null").count() and sliced.count() == burst.count()
+    assert max(r.n for r in sizes if r.key != "tied") <= 100
+    assert {r.n for r in sizes if r.key == "tied"} == {burst.filter("key = 'tied' and ts is not null").count()}
+    for key in {r.key for r in sizes}:
+        own = sorted((r._slice, r.low, r.high) for r in sizes if r.key == key)
+        assert all(a[0] <= a[1] <= a[2] < b[0] for a, b in zip(own, own[1:]))
+    window = Window.partitionBy("key").orderBy("ts", "id")
+    plain = burst.withColumn("prev_id", F.lag("id").over(window)).withColumn(
+        "found", F.last("value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    ours = skew.with_previous(burst, ["key"], "ts", ["id"], ["id"], max_rows=100)
+    assert rows(ours.na.fill(-1), "id", "prev_id") == rows(plain.na.fill(-1), "id", "prev_id")
+    timed = burst.filter("key is not null and ts is not null")
+    carried = skew.carry_forward(timed, ["key"], "ts", ["id"], "value", "found", max_rows=100)
+    assert rows(carried.na.fill(-1), "id", "found") == rows(plain.filter("key is not null and ts is not null").withColumn(
+        "found", F.last("value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))).na.fill(-1), "id", "found")
+
+
+def test_tasks_of_a_burst_are_even(spark, burst):
+    """The widest window group of the burst's key is under twice the median of its groups' bound."""
+    sliced = skew.time_slices(burst.filter("key = 'hot' and ts is not null"), ["key"], "ts", max_rows=100)
+    sizes = sorted(r["count"] for r in sliced.groupBy("_slice").count().collect())
+    assert sizes[-1] <= 100 and len(sizes) > 50 and sizes[-1] <= 2 * max(1, sizes[len(sizes) // 2])
+
+
 def test_carry_forward(events):
     window = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     plain = events.withColumn("found", F.last("value", ignorenulls=True).over(window))
