@@ -9,9 +9,13 @@ The seed table is broadcast only while the benchmark's text is at most `broadcas
 beyond that hits are found by a shuffled join of (hash, position) rows and the tokens are fetched
 by document afterwards.
 
+Items shorter than the shortest mask carry no seed. They are matched token by token, by a hash of the
+whole item: anywhere in a document if they have SHORTEST tokens or more, and below that (a word or
+two, which clean texts hold too) only where the item is the whole document.
+
 Defined results: null or empty texts match nothing; repeated documents are each compared, but the
-result has one row per (doc_id, item_id); benchmark items shorter than the shortest mask carry
-no seed and match nothing; items with equal text are all reported; other columns are not read.
+result has one row per (doc_id, item_id), and a place hit by several masks or copies counts once in
+n_hits; items with equal text are all reported; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ MASKS = ("11010011011", "1100101011", "11101110001")
 WINDOW = 16
 SIMILARITY = 0.8
 BROADCAST_CHARS = 8_000_000
+SHORTEST = 5
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -58,15 +63,37 @@ def _aligned(array: Column, item: Column, at: Column, item_at: Column, span: int
     return let(F.greatest(low, F.least(centred, high - window)), scored)
 
 
+def _short_hits(rows: DataFrame, items: DataFrame, span: int, shortest: int, small: bool) -> DataFrame | None:
+    """Places where an item of less than `span` tokens stands word for word; None if there is no such item.
+
+    Only the lengths that occur among the items (less than `span` values) are cut out of the documents.
+    """
+    short = items.filter((F.size("item") > 0) & (F.size("item") < span)).withColumn("seed", F.xxhash64("item"))
+    lengths = sorted(r[0] for r in short.select(F.size("item")).distinct().collect())
+    if not lengths:
+        return None
+    size = F.size("tokens")
+    fitting = rows.select("doc_id", "tokens", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length")).filter(
+        F.when(F.col("length") < shortest, size == F.col("length")).otherwise(size >= F.col("length")))
+    parts = fitting.select(
+        "doc_id", "length", "tokens", F.explode(F.sequence(F.lit(0), size - F.col("length"))).alias("at")
+    ).select("doc_id", "length", "at", F.slice("tokens", F.col("at") + 1, F.col("length")).alias("part"))
+    met = parts.withColumn("seed", F.xxhash64("part")).join(F.broadcast(short) if small else short, "seed")
+    return met.filter(F.col("part") == F.col("item")).select(
+        "doc_id", "item_id", "at", F.lit(0).alias("item_at"), F.col("at").alias("start"), "length",
+        F.col("length").alias("equal"))
+
+
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS,
     window: int = WINDOW, similarity: float = SIMILARITY, broadcast_chars: int = BROADCAST_CHARS,
+    shortest: int = SHORTEST,
 ) -> DataFrame:
     """Documents that share a passage with an item: doc_id, item_id, hits, the best window.
 
     A window has `window` tokens, fewer only where the item or the document is shorter there, and
-    never fewer than the shortest mask.
+    never fewer than the shortest mask, but for items that are shorter than it themselves.
     """
     span = min(map(len, masks))
     items = _items(benchmark, item_col, item_text_col)
@@ -74,7 +101,9 @@ def find_overlaps(
     rows = docs.select(F.col(id_col).alias("doc_id"), tokens(whole(text_col)).alias("tokens"))
     chars = benchmark.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0]
     positions = seeds(rows, "tokens", masks, "at", "seed")
-    if chars <= broadcast_chars:
+    small = chars <= broadcast_chars
+    short = _short_hits(rows, items, span, shortest, small)
+    if small:
         # joining right behind the generator keeps the token array a reference inside the stage
         hits = positions.join(F.broadcast(item_seeds), "seed").join(F.broadcast(items), "item_id")
     else:
@@ -87,10 +116,13 @@ def find_overlaps(
             rows, F.col("hit_id").eqNullSafe(F.col("doc_id")) & (F.col("hit_key") == F.col("text_key"))
         ).join(items, "item_id")
     best = _aligned(F.col("tokens"), F.col("item"), F.col("at"), F.col("item_at"), span, window)
-    scored = hits.select("doc_id", "item_id", best.alias("w")).select("doc_id", "item_id", "w.*")
+    places = ["doc_id", "item_id", "at", "item_at"]
+    scored = hits.select(*places, best.alias("w")).select(*places, "w.*")
     enough = scored.filter((F.col("length") >= span) & (F.col("equal") >= F.lit(similarity) * F.col("length")))
+    if short is not None:
+        enough = enough.unionByName(short)
     return enough.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_hits"),
+        F.count_distinct("at", "item_at").alias("n_hits"),
         F.max(F.struct(F.col("equal").alias("equal"), (-F.col("start")).alias("start"), F.col("length").alias("length"))).alias("best"),
         F.min("start").cast("bigint").alias("first_token"),
         F.max(F.col("start") + F.col("length")).cast("bigint").alias("last_token"),

@@ -1,5 +1,6 @@
 """op5 and op8 against plain Python, and their edge cases."""
 
+import itertools
 import random
 import re
 
@@ -59,6 +60,51 @@ def test_substitutions_against_brute_force(spark):
     assert len(found) >= 0.95 * len(want) and {i for i, _ in found} == {i for i in range(60) if i % 2}
 
 
+def test_masks_hit_any_window_with_two_changed_tokens():
+    """Every choice of changed tokens in a window of 16 that the similarity allows, against the placed masks."""
+    placed = [{at + i for i, c in enumerate(m) if c == "1"} for m in decontaminate.MASKS for at in range(17 - len(m))]
+
+    def share(changed):
+        choices = list(itertools.combinations(range(16), changed))
+        return sum(any(p.isdisjoint(c) for p in placed) for c in choices) / len(choices)
+
+    assert share(1) == share(2) == 1.0
+    assert 0.97 < share(3) < 0.98
+
+
+def test_both_paths_return_the_same_rows(spark):
+    rng = random.Random(5)
+    item = [f"t{rng.randrange(12)}" for _ in range(40)]
+    frame = spark.createDataFrame(
+        [(1, " ".join(item)), (2, " ".join(item[5:30] * 2)), (2, " ".join(item[5:30] * 2)), (3, "a b c d e f g h i"), (4, "x y")],
+        "doc_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(1, " ".join(item)), (2, "b c d e f"), (3, "x y"), (4, "a b")], "item_id bigint, text string")
+    small = decontaminate.find_overlaps(frame, bench)
+    large = decontaminate.find_overlaps(frame, bench, broadcast_chars=0)
+    assert small.columns == large.columns
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    assert {(1, 1), (2, 1), (3, 2), (4, 3)} == {(r.doc_id, r.item_id) for r in small.collect()}
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_CHARS, 0])
+def test_short_items_against_brute_force(spark, limit):
+    rng = random.Random(9)
+    items = [[rng.choice("abc") for _ in range(rng.randrange(1, 10))] for _ in range(30)]
+    docs = [[rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 4, 9, 60]))] for _ in range(60)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.n_hits, r.first_token, r.last_token, r.best_equal, r.best_length)
+           for r in decontaminate.find_overlaps(frame, bench, broadcast_chars=limit).collect()}
+    want = {}
+    for i, d in enumerate(docs):
+        for k, t in enumerate(items):
+            at = [a for a in range(len(d) - len(t) + 1) if d[a:a + len(t)] == t]
+            if at and (len(t) >= 5 or len(t) == len(d)):
+                want[i, k] = (len(at), at[0], at[-1] + len(t), len(t), len(t))
+    assert got == want and want
+
+
 def test_decontamination_edge_cases(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     docs = spark.createDataFrame(
