@@ -1,12 +1,13 @@
 """Secret scans with multipart credential linking.
 
 Strong parts are reported wherever they stand. Weak parts (login names, endpoints, random-looking
-strings) are reported only together with complementary parts: parts and scopes of a document meet
-in an interval join, done as one sweep in text order, and inside a scope each weak part looks for
-the nearest identifier, secret and endpoint at most `reach` characters away. The sweep is linear
-in the number of parts; no pairs are built.
+strings) are reported only together with complementary parts of their scope. Which part lies in
+which scope is an interval join of parts and scopes on (document, range). As the scopes of a document
+never overlap, it is done as a sweep in text order that numbers them: linear in the number of parts,
+where a join on document and range would compare every part with every scope of a long text.
 
-Scopes are stanzas: text between blank lines. Positions are code points, ends are exclusive.
+Scopes are stanzas: text between blank lines. Only the scope bounds a link, at whatever distance its
+parts stand. Positions are code points, ends are exclusive.
 
 Defined results: a null text is an empty text; repeated rows each get their own row; documents
 without parts get zero counts and empty spans; other columns are not read.
@@ -111,7 +112,7 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return placed.select("uid", "doc_id", "kind", "ok", (F.col("end") - F.col("length")).alias("start"), "end")
 
 
-def link_parts(parts: DataFrame, reach: int = 300) -> DataFrame:
+def link_parts(parts: DataFrame) -> DataFrame:
     """The parts to report: strong ones, and weak ones with complementary parts in their scope.
 
     A weak secret needs an identifier or an endpoint, a login needs a secret, an endpoint needs both.
@@ -131,17 +132,13 @@ def link_parts(parts: DataFrame, reach: int = 300) -> DataFrame:
     })
     # breaks and weak parts inside strong ones take no part in linking
     counted = placed.filter(F.col("kind").isNull() | F.col("strong") | ((F.col("role") != BREAK) & ~F.col("held")))
-    left = Window.partitionBy("uid", "scope").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy("uid", "scope").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
+    scope = Window.partitionBy("uid", "scope")
 
-    def near(wanted: str) -> Column:
-        last = F.max(F.when(F.col("role") == wanted, F.col("end"))).over(left)
-        following = F.min(F.when(F.col("role") == wanted, F.col("start"))).over(right)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(
-            following - F.col("end") <= reach, F.lit(False))
+    def met_in_scope(wanted: str) -> Column:
+        return F.max(F.coalesce(F.col("role") == wanted, F.lit(False))).over(scope)
 
-    met = counted.withColumns({"by_id": near(IDENTIFIER), "by_secret": near(SECRET), "by_end": near(ENDPOINT)})
+    met = counted.withColumns({
+        "by_id": met_in_scope(IDENTIFIER), "by_secret": met_in_scope(SECRET), "by_end": met_in_scope(ENDPOINT)})
     complete = (
         F.when(F.col("role") == SECRET, F.col("by_id") | F.col("by_end"))
         .when(F.col("role") == IDENTIFIER, F.col("by_secret"))
@@ -153,14 +150,14 @@ def link_parts(parts: DataFrame, reach: int = 300) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 300) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its spans in order as (start, kind, end)."""
     kinds = F.array(*[F.lit(p.kind) for p in PARTS])
     span = F.when(F.col("reported"), F.struct(
         F.col("start").alias("start"), F.col("kind").alias("number"), F.col("end").alias("end"),
         F.element_at(kinds, F.col("kind") + 1).alias("kind"), F.col("strong").alias("strong")))
     return (
-        link_parts(find_parts(docs, id_col, text_col), reach)
+        link_parts(find_parts(docs, id_col, text_col))
         .groupBy("uid", "doc_id").agg(F.sort_array(F.collect_list(span)).alias("spans")).drop("uid")
     )
 

@@ -132,7 +132,9 @@ WEAK = "Zm9vYmFyYmF6cXV4MTIzNDU2"
     (f"value {WEAK} alone", []),
     (f"user=alice {WEAK}", ["user=alice", WEAK]),
     (f"user=alice\n\n{WEAK}", []),  # another stanza
-    ("user=alice" + " x" * 200 + f" {WEAK}", []),  # too far
+    ("user=alice" + " x" * 200 + f" {WEAK}", ["user=alice", WEAK]),  # the scope bounds a link, not the distance
+    ("user=alice" + " x" * 50_000 + f" {WEAK}\n\nuser=bob", ["user=alice", WEAK]),
+    (f"{WEAK}\n \nuser=alice\nhttps://a.example.org/\n\n{WEAK} {WEAK}", []),
     (f"host https://db.example.com/x {WEAK}", [WEAK]),  # an endpoint needs both others
     (f"user=alice https://db.example.com/x {WEAK}", ["user=alice", "https://db.example.com/x", WEAK]),
     ("login: bob\npassword = abcdefghijklmn", ["login: bob"]),
