@@ -211,6 +211,16 @@ def test_main_text_of_the_table(spark):
     ("<article><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>", "one two c1 c2"),
     ("<article><p title='a > b'>quoted</p></article", "quoted"),
     ("<html><head><title>T</title><body><article>plain", "plain"),
+    ("<div class='no-sidebar has-header'><article>x y</article></div>", "x y"),
+    ("<article>H<math>2</math>O</article>", "H2O"),
+    ("<article>A<noscript>img text</noscript>B<object>film</object></article>", "Aimg textBfilm"),
+    ("<body><noscript>Enable scripts</noscript><article>x</article>", "x"),
+    ("<div class='site-footer'>(c)</div><article class='post'><div class='article-header'><h1>T</h1></div><p>b</p>"
+     "<ol class='comment-list'><li>c</li></ol><article class='user-comment'>d</article></article>", "T b"),
+    ("hello", "hello"),
+    ("<ul><li><a>Home</a><li><a>News</a></ul><h1>Title here</h1><p>" + "word " * 40 + "</p><p>short line</p><p>" + "more " * 30
+     + "</p><div>Follow us</div><ul><li><a>A</a><li><a>B</a></ul><p>All rights reserved</p>",
+     "Title here " + "word " * 40 + "short line " + "more " * 29 + "more"),
 ])
 def test_pages_by_hand(page, text):
     assert html_text.main_text(page, html_text.fit_tree(html_text.LABELLED)) == text
@@ -226,6 +236,25 @@ def test_tree_is_learned_from_the_table():
     assert html_text.fit_tree([(1.0, 1), (2.0, 1)]) == 1
 
 
+def test_neighbours_decide_where_no_region_is_marked():
+    tree = html_text.fit_tree(html_text.LABELLED)
+
+    def used(node):
+        return set() if isinstance(node, int) else {html_text.FEATURES[node[0]]} | used(node[2]) | used(node[3])
+
+    assert used(tree) & {"words_before", "density_before", "words_after", "density_after"}
+    prose, links = (40.0, 0.0), (2.0, 1.0)
+    line = (3.0, 0.0)
+    assert html_text.decide(tree, (*line, *prose, *prose, 1.0, 0.0)) == 1
+    assert html_text.decide(tree, (*line, *links, *links, 1.0, 0.0)) == 0
+    # a marked article stays whole and a marked frame goes whole, whatever the figures
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        row = [float(rng.choice([0, 1, 2, 5, 9, 14, 30, 400])) if k % 2 == 0 else float(rng.choice([0, 0.2, 0.35, 0.6, 1])) for k in range(6)]
+        heading = float(rng.integers(2))
+        assert html_text.decide(tree, (*row, 2.0, heading)) == 1 and html_text.decide(tree, (*row, 0.0, heading)) == 0
+
+
 def test_page_edge_cases(spark):
     frame = spark.createDataFrame(
         [(1, "u", "<article>x</article>", "t"), (1, "u", "<article>x</article>", "t"), (None, None, None, "t"),
