@@ -22,6 +22,13 @@ Equal contexts (the whole text an anchor can need, left and right) are sent once
 number, and the verdict goes back to all places with that context by a join, so copies in any
 number do not meet in one task. Matches never cross documents.
 
+A gram with more than `crowd` places (a line that millions of texts hold) would bring all its contexts
+into one group. Its distinct contexts are dealt on: a shared window lies at some offset to the anchor,
+offsets are cut into ranges, and all windows of a range have most of their text in common. A context goes to
+the groups of those ranges whose common text another context has too, so partners still meet in at
+least one group, and the reach is the largest over the groups. Where even that text is crowded, the offsets are taken one by
+one: contexts with equal text there share a whole window and need no comparison.
+
 Defined results: a null text is an empty text; repeated rows count as separate documents, so both
 lose their bytes; texts under `length` bytes stay whole; other columns are not read.
 """
@@ -47,6 +54,9 @@ GRAM = 100
 RUN_BYTES = 16_000_000  # context bytes sorted into one run
 BLOCK = 1 << 19  # window starts hashed at once
 BUCKETS_PER_PARTITION = 4
+CROWD = 10_000  # places of a gram, or contexts with a common text, that may form one group
+RANGES = 16  # ranges of offsets, for crowded grams
+ORIGINS = "c1 long, c2 long, k1 long, k2 long, place int, back int, ahead int"
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -309,30 +319,32 @@ def _longs(ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Sorted runs, cut by bucket: bucket, a number that orders pieces, the piece."""
-    found: dict[bytes, list] = {}
-    size, number = 0, 0
+    """Sorted runs, cut by bucket: bucket, the piece."""
+    found: dict[tuple[int, bytes], list] = {}
+    size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal size, number
+        nonlocal size
         by_bucket: dict[int, list] = {}
-        for key, (right, left, count) in found.items():
-            by_bucket.setdefault(zlib.crc32(right[:gram]) % buckets, []).append((right, left, count, key))
+        for (bucket, key), (right, left, count) in found.items():
+            by_bucket.setdefault(bucket, []).append((right, left, count, key))
         for bucket, records in sorted(by_bucket.items()):
             records.sort(key=lambda r: (r[0], r[1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([bucket], pa.int32()), pa.array([encode_run(records)], pa.binary())], ["bucket", "piece"])
         found.clear()
-        size, number = 0, number + 1
+        size = 0
 
     for batch in batches:
-        for data, places in zip(batch.column("data"), batch.column("places"), strict=True):
+        for data, places, dealt in zip(*[batch.column(c) for c in ("data", "places", "dealt")], strict=True):
             data = data.as_py()
-            for place in sorted(set(places.as_py())):
+            spots = [(place, zlib.crc32(data[place:place + gram]) % buckets) for place in set(places.as_py())]
+            spots += {(spot["place"], buckets + spot["deal"]) for spot in dealt.as_py() or ()}
+            for place, bucket in sorted(spots):
                 right, left, key = _context(data, place, length, gram)
-                entry = found.get(key)
+                entry = found.get((bucket, key))
                 if entry is None:
-                    found[key] = [right, left, 1]
+                    found[bucket, key] = [right, left, 1]
                     size += len(right) + len(left) + 200
                 else:
                     entry[2] += 1
@@ -342,20 +354,47 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets:
 
 
 def _origins(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Which context stands where."""
+    """Which context stands where, and the sizes of its two sides."""
     for batch in batches:
-        ids, k1, k2, place = [], [], [], []
-        for a, b, data, places in zip(*[batch.column(c) for c in ("k1", "k2", "data", "places")], strict=True):
+        ids, k1, k2, place, back, ahead = [], [], [], [], [], []
+        for a, b, data, places, crowded in zip(
+                *[batch.column(c) for c in ("k1", "k2", "data", "places", "crowded")], strict=True):
             data = data.as_py()
-            for at in sorted(set(places.as_py())):
-                ids.append(_context(data, at, length, gram)[2])
+            for at in sorted({*places.as_py(), *crowded.as_py()}):
+                right, left, key = _context(data, at, length, gram)
+                ids.append(key)
                 k1.append(a.as_py())
                 k2.append(b.as_py())
                 place.append(at)
+                back.append(len(left))
+                ahead.append(len(right))
         first, second = _longs(ids)
         yield pa.RecordBatch.from_arrays(
-            [first, second, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int32())],
-            ["c1", "c2", "k1", "k2", "place"])
+            [first, second, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int32()),
+             pa.array(back, pa.int32()), pa.array(ahead, pa.int32())],
+            ["c1", "c2", "k1", "k2", "place", "back", "ahead"])
+
+
+def _alignments(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
+    """A code per context and range of `step` offsets: a hash of the text that all windows of the range hold.
+
+    A window of offset o starts o bytes before the anchor. Ranges whose common text the document cuts off are left out.
+    """
+    spot = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "c1", "c2")] + [(n, pa.int32()) for n in ("place", "low", "high")]
+                     + [("code", pa.binary())])
+    for batch in batches:
+        rows = []
+        for k1, k2, data, spots in zip(*[batch.column(c) for c in ("k1", "k2", "data", "spots")], strict=True):
+            k1, k2, data = k1.as_py(), k2.as_py(), data.as_py()
+            for s in spots.as_py():
+                for low in range(s["low"], s["high"], step):
+                    high = min(low + step, s["high"])
+                    start, end = s["place"] - low, s["place"] + length - high + 1
+                    if start >= 0 and end <= len(data):
+                        code = hashlib.blake2b(struct.pack("<II", low, high) + data[start:end], digest_size=16).digest()
+                        rows.append((k1, k2, s["c1"], s["c2"], s["place"], low, high, code))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(spot)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, spot, strict=True)], schema=spot)
 
 
 def _merged(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -408,7 +447,47 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _deal_crowded(rows: DataFrame, places: DataFrame, total: int, length: int, gram: int,
+                  crowd: int) -> tuple[DataFrame, DataFrame]:
+    """How the contexts of crowded grams are dealt on (k1, k2, dealt), and the verdicts that need no comparison.
+
+    `total` is the number of crowded places; it sets the number of groups.
+    """
+    here = rows.join(places.filter(F.size("crowded") > 0).select(
+        "k1", "k2", F.array().cast("array<int>").alias("places"), "crowded"), ["k1", "k2"])
+    contexts = cut_lineage(
+        here.mapInArrow(lambda b: _origins(b, length, gram), ORIGINS).groupBy("c1", "c2").agg(
+            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"),
+            F.max("back").alias("back"), F.max("ahead").alias("ahead")))
+    # a context that occurs again is repeated as a whole
+    whole = contexts.filter((F.col("n") > 1) & (F.col("back") + F.col("ahead") >= length)).select("c1", "c2", "back", "ahead")
+
+    def shared_codes(spots: DataFrame, step: int) -> DataFrame:
+        listed = spots.groupBy("k1", "k2").agg(F.collect_list(F.struct("c1", "c2", "place", "low", "high")).alias("spots"))
+        codes = rows.join(listed, ["k1", "k2"]).mapInArrow(
+            lambda b: _alignments(b, length, step),
+            "k1 long, k2 long, c1 long, c2 long, place int, low int, high int, code binary")
+        often = cut_lineage(codes.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"))
+        return codes.join(often, "code")
+
+    offsets = length - gram + 1
+    groups = max(1, -(-total * RANGES // crowd))
+    near = cut_lineage(shared_codes(
+        contexts.select("one.*", "c1", "c2", F.lit(0).alias("low"), F.lit(offsets).alias("high")),
+        -(-offsets // RANGES),
+    ).withColumn("deal", F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int")).drop("code"))
+    dealt = near.filter(F.col("n") <= crowd).groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("place", "deal")).alias("dealt"))
+    packed = near.filter(F.col("n") > crowd)
+    if packed.isEmpty():
+        return dealt, whole
+    exact = shared_codes(packed.drop("n", "deal"), 1).groupBy("c1", "c2").agg(
+        F.max("low").alias("back"), F.max(length - F.col("low")).alias("ahead"))
+    return dealt, whole.unionByName(exact)
+
+
+def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM,
+                   crowd: int = CROWD) -> DataFrame:
     """doc_id, data (the text's bytes) and spans (start, end of repeated text, unmerged; null for none)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -438,26 +517,38 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     found = long_rows.mapInArrow(grams, "gram long, k1 long, k2 long, place int")
     # a gram that occurs once can be in no repeated window
     # stored, so the join below has plain exchanges on both sides and hot grams can be split
-    often = cut_lineage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
-    places = found.join(often, "gram").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    often = cut_lineage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))
+    calm = F.col("n") <= crowd
+    places = found.join(often, "gram").groupBy("k1", "k2").agg(
+        F.collect_list(F.when(calm, F.col("place"))).alias("places"),
+        F.collect_list(F.when(~calm, F.col("place"))).alias("crowded"))
     places = cut_lineage(places)  # used twice; numbers only
+    total = often.filter(~calm).agg(F.sum("n")).first()[0]
+    known = None
+    if total is None:
+        places = places.withColumn("dealt", F.lit(None).cast("array<struct<place:int,deal:int>>"))
+    else:
+        dealt, known = _deal_crowded(rows, places, total, length, gram, crowd)
+        places = cut_lineage(places.join(dealt, ["k1", "k2"], "left"))
     # the same exchange of the texts serves both uses here and the last join
-    placed = rows.join(places, ["k1", "k2"]).select("doc_id", "k1", "k2", "data", "places")
+    placed = rows.join(places, ["k1", "k2"]).select("doc_id", "k1", "k2", "data", "places", "crowded", "dealt")
 
     pieces = placed.mapInArrow(
         lambda b: _pieces(b, length, gram, buckets), "bucket int, piece binary"
     ).repartition(F.col("bucket")).sortWithinPartitions("bucket")
     verdicts = pieces.mapInArrow(lambda b: _merged(b, length, gram), "c1 long, c2 long, back int, ahead int")
-    origins = placed.mapInArrow(lambda b: _origins(b, length, gram), "c1 long, c2 long, k1 long, k2 long, place int")
+    if known is not None:
+        verdicts = verdicts.unionByName(known)
+    origins = placed.mapInArrow(lambda b: _origins(b, length, gram), ORIGINS).drop("back", "ahead")
     spans = origins.join(verdicts, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct(
         (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))).alias("spans"))
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the removed runs (start, end) and the bytes that stay."""
-    found = repeated_spans(docs, id_col, text_col, length, gram)
+                   gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, the removed runs (start, end) and the bytes that stay. `crowd` bounds a task, not results."""
+    found = repeated_spans(docs, id_col, text_col, length, gram, crowd)
     kind = dict(found.dtypes)["doc_id"]
 
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

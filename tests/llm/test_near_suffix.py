@@ -192,11 +192,12 @@ def test_merge_order_and_shared_lengths():
             assert common == suffix_dedup.shared(before[0], record[0])
 
 
+@pytest.mark.parametrize("crowd", [10_000, 12, 2])
 @pytest.mark.parametrize("seed, alphabet", [(1, "ab"), (2, "abcdefgh"), (3, "aé😀b")])
-def test_spans_against_brute_force(spark, seed, alphabet):
+def test_spans_against_brute_force(spark, seed, alphabet, crowd):
     texts = random_texts(random.Random(seed), alphabet)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, length=24, gram=6).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, length=24, gram=6, crowd=crowd).collect()}
     for i, mark in enumerate(covered([t.encode() for t in texts], 24)):
         data = texts[i].encode()
         assert bytes(got[i].kept) == np.frombuffer(data, np.uint8)[~mark].tobytes()
@@ -204,6 +205,41 @@ def test_spans_against_brute_force(spark, seed, alphabet):
         assert len(got[i].removed) == (np.diff(np.concatenate(([0], mark.astype(int), [0]))) == 1).sum()
 
 
+def test_lines_of_very_many_texts_are_dealt_on(spark, monkeypatch, tmp_path):
+    """A line below the length in every text, one above it in some, and copies: no group holds more than the crowd allows."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line, close, over = word(300), word(392), word(430)
+    texts = [word(rng.randrange(450)) + line + word(rng.randrange(450)) for _ in range(1200)]
+    texts += [word(400) + close + word(400) for _ in range(300)] + [word(350) + over + word(350) for _ in range(300)]
+    texts += texts[:40] + [t[100:] + word(30) for t in texts[40:80]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    log = tmp_path / "groups"
+    merged = suffix_dedup._merged
+
+    def watched(batches, length, gram):
+        """Writes down the sizes of the groups before they are solved."""
+        batches, runs = list(batches), {}
+        for batch in batches:
+            for bucket, piece in zip(batch.column("bucket").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                runs.setdefault(bucket, []).append(suffix_dedup.Run(piece))
+        for found in runs.values():
+            sizes = []
+            for common, _ in suffix_dedup.merge_runs(found):
+                if common < gram or not sizes:
+                    sizes.append(0)
+                sizes[-1] += 1
+            with log.open("a") as out:
+                out.write(f"{max(sizes)}\n")
+        return merged(iter(batches), length, gram)
+
+    monkeypatch.setattr(suffix_dedup, "_merged", watched)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, crowd=100).collect()}
+    for i, mark in enumerate(covered([t.encode() for t in texts], 400)):
+        assert bytes(got[i].kept) == np.frombuffer(texts[i].encode(), np.uint8)[~mark].tobytes()
+    assert max(map(int, log.read_text().split())) <= 200
+
+
 def test_removed_bytes_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text.encode()) for r in docs.collect()]
