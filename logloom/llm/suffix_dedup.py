@@ -56,7 +56,7 @@ BLOCK = 1 << 19  # window starts hashed at once
 BUCKETS_PER_PARTITION = 4
 CROWD = 10_000  # places of a gram, or contexts with a common text, that may form one group
 RANGES = 16  # ranges of offsets, for crowded grams
-ORIGINS = "c1 long, c2 long, k1 long, k2 long, place int, back int, ahead int"
+BROADCAST_PLACES = 400_000  # places sent to the texts instead of the texts to the places, 60 bytes each
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -354,47 +354,63 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int, gram: int, buckets:
 
 
 def _origins(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Which context stands where, and the sizes of its two sides."""
+    """Which context stands where."""
     for batch in batches:
-        ids, k1, k2, place, back, ahead = [], [], [], [], [], []
+        ids, k1, k2, place = [], [], [], []
         for a, b, data, places, crowded in zip(
                 *[batch.column(c) for c in ("k1", "k2", "data", "places", "crowded")], strict=True):
             data = data.as_py()
             for at in sorted({*places.as_py(), *crowded.as_py()}):
-                right, left, key = _context(data, at, length, gram)
-                ids.append(key)
+                ids.append(_context(data, at, length, gram)[2])
                 k1.append(a.as_py())
                 k2.append(b.as_py())
                 place.append(at)
-                back.append(len(left))
-                ahead.append(len(right))
         first, second = _longs(ids)
         yield pa.RecordBatch.from_arrays(
-            [first, second, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int32()),
-             pa.array(back, pa.int32()), pa.array(ahead, pa.int32())],
-            ["c1", "c2", "k1", "k2", "place", "back", "ahead"])
+            [first, second, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int32())],
+            ["c1", "c2", "k1", "k2", "place"])
 
 
-def _alignments(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
-    """A code per context and range of `step` offsets: a hash of the text that all windows of the range hold.
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """The contexts of crowded grams, with a code per range of offsets: a hash of the text that all windows of the range hold.
 
-    A window of offset o starts o bytes before the anchor. Ranges whose common text the document cuts off are left out.
+    A window of offset o starts o bytes before the anchor. The code is null where the document cuts the text off.
     """
-    spot = pa.schema([(n, pa.int64()) for n in ("k1", "k2", "c1", "c2")] + [(n, pa.int32()) for n in ("place", "low", "high")]
-                     + [("code", pa.binary())])
+    offsets = length - gram + 1
+    step = _step(length, gram)
+    kinds = pa.schema([(n, pa.int64()) for n in ("c1", "c2", "k1", "k2")] + [(n, pa.int32()) for n in ("place", "back", "ahead")]
+                      + [("codes", pa.list_(pa.int64()))])
     for batch in batches:
         rows = []
-        for k1, k2, data, spots in zip(*[batch.column(c) for c in ("k1", "k2", "data", "spots")], strict=True):
+        for k1, k2, data, crowded in zip(*[batch.column(c) for c in ("k1", "k2", "data", "crowded")], strict=True):
             k1, k2, data = k1.as_py(), k2.as_py(), data.as_py()
+            for place in sorted(set(crowded.as_py())):
+                right, left, key = _context(data, place, length, gram)
+                codes = []
+                for low in range(0, offsets, step):
+                    start, end = place - low, place + length - min(low + step, offsets) + 1
+                    code = hashlib.blake2b(struct.pack("<I", low) + data[max(start, 0):end], digest_size=8).digest()
+                    codes.append(struct.unpack("<q", code)[0] if start >= 0 and end <= len(data) else None)
+                rows.append((*struct.unpack("<qq", key), k1, k2, place, len(left), len(right), codes))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Every window of given offsets to an anchor: context, offset, a hash of the window."""
+    kinds = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("offset", pa.int32()), ("code", pa.binary())])
+    for batch in batches:
+        rows = []
+        for data, spots in zip(batch.column("data"), batch.column("spots"), strict=True):
+            data = data.as_py()
             for s in spots.as_py():
-                for low in range(s["low"], s["high"], step):
-                    high = min(low + step, s["high"])
-                    start, end = s["place"] - low, s["place"] + length - high + 1
-                    if start >= 0 and end <= len(data):
-                        code = hashlib.blake2b(struct.pack("<II", low, high) + data[start:end], digest_size=16).digest()
-                        rows.append((k1, k2, s["c1"], s["c2"], s["place"], low, high, code))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * len(spot)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, spot, strict=True)], schema=spot)
+                for offset in range(s["low"], s["high"]):
+                    start = s["place"] - offset
+                    if start >= 0 and start + length <= len(data):
+                        code = hashlib.blake2b(struct.pack("<I", offset) + data[start:start + length], digest_size=16).digest()
+                        rows.append((s["c1"], s["c2"], offset, code))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
 
 def _merged(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -447,43 +463,53 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _step(length: int, gram: int) -> int:
+    """Offsets per range."""
+    return -(-(length - gram + 1) // RANGES)
+
+
+def _with_places(rows: DataFrame, listed: DataFrame, n_places: int) -> DataFrame:
+    """Texts with the places listed for them: few places go to the texts, many meet them in an exchange."""
+    return rows.join(F.broadcast(listed) if n_places <= BROADCAST_PLACES else listed, ["k1", "k2"])
+
+
 def _deal_crowded(rows: DataFrame, places: DataFrame, total: int, length: int, gram: int,
                   crowd: int) -> tuple[DataFrame, DataFrame]:
     """How the contexts of crowded grams are dealt on (k1, k2, dealt), and the verdicts that need no comparison.
 
     `total` is the number of crowded places; it sets the number of groups.
     """
-    here = rows.join(places.filter(F.size("crowded") > 0).select(
-        "k1", "k2", F.array().cast("array<int>").alias("places"), "crowded"), ["k1", "k2"])
+    offsets, step = length - gram + 1, _step(length, gram)
+    here = _with_places(rows, places.filter(F.size("crowded") > 0).select("k1", "k2", "crowded"), total)
     contexts = cut_lineage(
-        here.mapInArrow(lambda b: _origins(b, length, gram), ORIGINS).groupBy("c1", "c2").agg(
-            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"),
-            F.max("back").alias("back"), F.max("ahead").alias("ahead")))
+        here.mapInArrow(
+            lambda b: _contexts(b, length, gram),
+            "c1 long, c2 long, k1 long, k2 long, place int, back int, ahead int, codes array<long>",
+        ).groupBy("c1", "c2").agg(
+            F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("one"), F.first("codes").alias("codes"),
+            F.first("back").alias("back"), F.first("ahead").alias("ahead")))
     # a context that occurs again is repeated as a whole
-    whole = contexts.filter((F.col("n") > 1) & (F.col("back") + F.col("ahead") >= length)).select("c1", "c2", "back", "ahead")
+    known = contexts.filter((F.col("n") > 1) & (F.col("back") + F.col("ahead") >= length)).select("c1", "c2", "back", "ahead")
 
-    def shared_codes(spots: DataFrame, step: int) -> DataFrame:
-        listed = spots.groupBy("k1", "k2").agg(F.collect_list(F.struct("c1", "c2", "place", "low", "high")).alias("spots"))
-        codes = rows.join(listed, ["k1", "k2"]).mapInArrow(
-            lambda b: _alignments(b, length, step),
-            "k1 long, k2 long, c1 long, c2 long, place int, low int, high int, code binary")
-        often = cut_lineage(codes.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"))
-        return codes.join(often, "code")
-
-    offsets = length - gram + 1
+    codes = contexts.select("one.*", "c1", "c2", F.posexplode("codes").alias("range", "code")).filter("code IS NOT NULL")
+    often = cut_lineage(codes.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1"))
+    near = codes.join(often, "code")
     groups = max(1, -(-total * RANGES // crowd))
-    near = cut_lineage(shared_codes(
-        contexts.select("one.*", "c1", "c2", F.lit(0).alias("low"), F.lit(offsets).alias("high")),
-        -(-offsets // RANGES),
-    ).withColumn("deal", F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int")).drop("code"))
-    dealt = near.filter(F.col("n") <= crowd).groupBy("k1", "k2").agg(
-        F.collect_set(F.struct("place", "deal")).alias("dealt"))
-    packed = near.filter(F.col("n") > crowd)
-    if packed.isEmpty():
-        return dealt, whole
-    exact = shared_codes(packed.drop("n", "deal"), 1).groupBy("c1", "c2").agg(
-        F.max("low").alias("back"), F.max(length - F.col("low")).alias("ahead"))
-    return dealt, whole.unionByName(exact)
+    deal = F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int").alias("deal")
+    dealt = near.filter(F.col("n") <= crowd).groupBy("k1", "k2").agg(F.collect_set(F.struct("place", deal)).alias("dealt"))
+    n_packed = often.filter(F.col("n") > crowd).agg(F.sum("n")).first()[0]
+    if n_packed is None:
+        return dealt, known
+    low = (F.col("range") * step).alias("low")
+    high = F.least((F.col("range") + 1) * step, F.lit(offsets)).alias("high")
+    spots = near.filter(F.col("n") > crowd).groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("c1", "c2", "place", low, high)).alias("spots"))
+    windows = _with_places(rows, spots, n_packed).mapInArrow(
+        lambda b: _windows(b, length), "c1 long, c2 long, offset int, code binary")
+    repeated = cut_lineage(windows.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code"))
+    shared_here = windows.join(repeated, "code").groupBy("c1", "c2").agg(
+        F.max("offset").alias("back"), F.max(length - F.col("offset")).alias("ahead"))
+    return dealt, known.unionByName(shared_here)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM,
@@ -539,7 +565,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     verdicts = pieces.mapInArrow(lambda b: _merged(b, length, gram), "c1 long, c2 long, back int, ahead int")
     if known is not None:
         verdicts = verdicts.unionByName(known)
-    origins = placed.mapInArrow(lambda b: _origins(b, length, gram), ORIGINS).drop("back", "ahead")
+    origins = placed.mapInArrow(lambda b: _origins(b, length, gram), "c1 long, c2 long, k1 long, k2 long, place int")
     spans = origins.join(verdicts, ["c1", "c2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct(
         (F.col("place") - F.col("back")).alias("start"), (F.col("place") + F.col("ahead")).alias("end"))).alias("spans"))
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "data", "spans")
