@@ -259,3 +259,16 @@ def test_suffix_edge_cases(spark):
                  for r in suffix_dedup.digest(suffix_dedup.remove_repeats(frame)).collect())
     assert got == [(0, 2000, 2000, 1), (1, 450, 450, 1), (1, 450, 450, 1), (2, 0, 0, 0), (3, 0, 0, 0), (4, 399, 0, 0), (5, 401, 401, 1), (6, 5000, 0, 0)]
     assert suffix_dedup.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_anchors_do_not_depend_on_block_borders():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(97, 123, 900, dtype=np.uint8).tobytes()
+    data = bytearray(rng.integers(97, 123, 2 * suffix_dedup.BLOCK + 5000, dtype=np.uint8).tobytes())
+    for at in (suffix_dedup.BLOCK - 450, 2 * suffix_dedup.BLOCK - 100):
+        data[at:at + 900] = passage
+    places, codes = suffix_dedup.anchors(bytes(data))
+    alone, alone_codes = suffix_dedup.anchors(passage)
+    known = dict(zip(places.tolist(), codes.tolist(), strict=True))
+    for at in (suffix_dedup.BLOCK - 450, 2 * suffix_dedup.BLOCK - 100):
+        assert all(known.get(at + p) == c for p, c in zip(alone.tolist(), alone_codes.tolist(), strict=True))
