@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logloom.llm import near_dedup, suffix_dedup
@@ -240,6 +241,65 @@ def test_lines_of_very_many_texts_are_dealt_on(spark, monkeypatch, tmp_path):
     assert max(map(int, log.read_text().split())) <= 200
 
 
+def test_large_groups_are_not_compared_pair_by_pair(monkeypatch):
+    """A line just below the length with surroundings that match by chance: one comparison per neighbour, not per pair."""
+    rng = random.Random(21)
+    word = lambda n: bytes(rng.choice(b"abcd") for _ in range(n))
+    line = word(396)
+    made = [(line[150:] + word(154), line[:150][::-1] + word(150)) for _ in range(1000)]
+    made = [(right, left, 1, hashlib.blake2b(left + right, digest_size=16).digest()) for right, left in made]
+    made.sort(key=lambda r: (r[0], r[1]))
+    near = [0, *[suffix_dedup.shared(a[0], b[0]) for a, b in zip(made, made[1:])]]
+    compared = []
+    common = suffix_dedup._common
+    monkeypatch.setattr(suffix_dedup, "_common", lambda a, b, limit: compared.append(len(a)) or common(a, b, limit))
+    got = {key: (back, ahead) for key, back, ahead in suffix_dedup.solve_group(made, near)}
+    assert sum(compared) < 2 * len(made)
+    seen = Counter((o, left[:o], right[:400 - o]) for right, left, *_ in made for o in range(301))
+    for right, left, _, key in made:
+        shared = [o for o in range(301) if seen[o, left[:o], right[:400 - o]] > 1]
+        assert got.get(key) == ((max(shared), 400 - min(shared)) if shared else None)
+    assert 0 < len(got)
+
+
+def test_contexts_are_folded_before_they_leave_a_task():
+    data = bytes(range(97, 107)) * 5 + bytes(range(48, 58)) * 80
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([3, 1, 2]), pa.array([0, 0, 0]), pa.array([data] * 3, pa.binary()), pa.array([[400], [400], [400, 50]], pa.list_(pa.int32()))],
+        ["k1", "k2", "data", "crowded"])
+    rows = pa.Table.from_batches(suffix_dedup._contexts(iter([batch, batch]), 400, 100)).to_pylist()
+    assert sorted((r["k1"], r["place"], r["back"], r["ahead"], r["n"]) for r in rows) == [(1, 400, 300, 400, 6), (2, 50, 50, 400, 2)]
+
+
+def test_crowds_of_copies_go_to_one_group(spark, monkeypatch, tmp_path):
+    """Places of a line above the crowd, its distinct contexts below: each context is dealt once, however long the line."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    line, passage = word(520), word(610)
+    texts = [word(350) + line + word(350) for _ in range(30)] * 5
+    log = tmp_path / "deals"
+    pieces = suffix_dedup._pieces
+
+    def watched(batches, *rest):
+        batches = list(batches)
+        with log.open("a") as out:
+            for batch in batches:
+                for dealt in batch.column("dealt").to_pylist():
+                    counts = Counter(d["place"] for d in dealt or ())
+                    out.write(f"{max(counts.values(), default=0)}\n")
+        return pieces(iter(batches), *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_pieces", watched)
+    for crowd in (100, 20):
+        mixed = texts if crowd == 100 else texts + [word(300) + passage + word(300) for _ in range(90)]
+        frame = spark.createDataFrame(list(enumerate(mixed)), "doc_id bigint, text string").repartition(4)
+        got = {r.doc_id: r for r in suffix_dedup.remove_repeats(frame, crowd=crowd).collect()}
+        for i, mark in enumerate(covered([t.encode() for t in mixed], 400)):
+            assert bytes(got[i].kept) == np.frombuffer(mixed[i].encode(), np.uint8)[~mark].tobytes()
+        if crowd == 100:
+            assert max(map(int, log.read_text().split())) == 1
+
+
 def test_removed_bytes_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text.encode()) for r in docs.collect()]
