@@ -20,10 +20,10 @@ n_hits; items with equal text are all reported; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.text import let, seeds, tokens, whole
+from logloom.llm.text import seeds, tokens, whole
 
 MASKS = ("11010011011", "1100101011", "11101110001")
 WINDOW = 16
@@ -44,23 +44,30 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return found.filter(F.col("seed").isNotNull()).select("seed", "item_id", "item_at").distinct()
 
 
-def _aligned(array: Column, item: Column, at: Column, item_at: Column, span: int, window: int) -> Column:
-    """(start, length, equal) of the window around a hit, in document positions.
+def _windows(hits: DataFrame, places: list[str], span: int, window: int) -> DataFrame:
+    """`places` and (start, length, equal) of the window around each hit, in document positions.
 
     The window lies inside the overlap of both token rows and is centred on the seed where it can be.
+    Only the window's tokens leave the row of the hit: a stage keeps all hits of a document until it hands them on,
+    so whole token rows beside each hit would take the square of a document's length. The generator keeps
+    conditions on the window from being moved below it; nothing after it needs a lambda, so hits that fail go at once.
     """
-    shift = at - item_at
+    shift = F.col("at") - F.col("item_at")
     low = F.greatest(F.lit(0), -shift)
-    high = F.least(F.size(item), F.size(array) - shift)
-
-    def scored(start: Column) -> Column:
-        stop = F.least(high, start + window)
-        equal = F.size(F.filter(
-            F.sequence(start, stop - 1), lambda i: F.get(item, i).eqNullSafe(F.get(array, i + shift))))
-        return F.struct((start + shift).alias("start"), (stop - start).alias("length"), equal.alias("equal"))
-
-    centred = item_at - F.lit((window - span) // 2)
-    return let(F.greatest(low, F.least(centred, high - window)), scored)
+    high = F.least(F.size("item"), F.size("tokens") - shift)
+    start = F.greatest(low, F.least(F.col("item_at") - F.lit((window - span) // 2), high - window))
+    bounds = hits.select(*places, "tokens", "item", shift.alias("shift"), start.alias("from"), high.alias("high"))
+    length = F.least(F.col("high") - F.col("from"), F.lit(window))
+    cut = bounds.select(*places, F.explode(F.array(F.struct(
+        (F.col("from") + F.col("shift")).alias("start"), length.alias("length"),
+        F.slice("tokens", F.col("from") + F.col("shift") + 1, length).alias("part"),
+        F.slice("item", F.col("from") + 1, length).alias("passage"),
+    ))).alias("w")).select(*places, "w.*")
+    same = [
+        F.when((F.col("length") > j) & F.get("part", F.lit(j)).eqNullSafe(F.get("passage", F.lit(j))), 1).otherwise(0)
+        for j in range(window)
+    ]
+    return cut.select(*places, "start", "length", sum(same[1:], same[0]).alias("equal"))
 
 
 def _short_hits(rows: DataFrame, items: DataFrame, span: int, shortest: int, small: bool) -> DataFrame | None:
@@ -112,12 +119,11 @@ def find_overlaps(
         met = thin.join(item_seeds, "seed").select(
             F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "at", "item_id", "item_at"
         ).dropDuplicates(["hit_id", "hit_key", "at", "item_id", "item_at"])
-        hits = met.join(
-            rows, F.col("hit_id").eqNullSafe(F.col("doc_id")) & (F.col("hit_key") == F.col("text_key"))
-        ).join(items, "item_id")
-    best = _aligned(F.col("tokens"), F.col("item"), F.col("at"), F.col("item_at"), span, window)
+        # items first: the tokens of a document are cut to the window right behind the join that brings them
+        hits = met.join(items, "item_id").join(
+            rows, F.col("hit_id").eqNullSafe(F.col("doc_id")) & (F.col("hit_key") == F.col("text_key")))
     places = ["doc_id", "item_id", "at", "item_at"]
-    scored = hits.select(*places, best.alias("w")).select(*places, "w.*")
+    scored = _windows(hits, places, span, window)
     enough = scored.filter((F.col("length") >= span) & (F.col("equal") >= F.lit(similarity) * F.col("length")))
     if short is not None:
         enough = enough.unionByName(short)

@@ -185,3 +185,27 @@ def test_plans_stay_native(spark, tables):
         plan = df._jdf.queryExecution().executedPlan().toString()
         for bad in ("Python", "Arrow", "CartesianProduct", "NestedLoop", "ExistingRDD"):
             assert bad not in plan
+
+
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_CHARS, 0])
+def test_a_document_that_holds_a_whole_benchmark_many_times(spark, limit):
+    """About 30,000 hits, with 12,000 tokens beside each: by size, not measured, over 5 GB of rows at once."""
+    items = [[f"i{k}t{j}" for j in range(60)] for k in range(20)]
+    text = " ".join(t for _ in range(10) for item in items for t in item)
+    docs = spark.createDataFrame([(1, text), (2, " ".join(f"x{i}" for i in range(100)))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    found = decontaminate.find_overlaps(docs, bench, broadcast_chars=limit)
+    rows = {r.item_id: r for r in found.collect()}
+    assert len(rows) == 20 and {r.doc_id for r in rows.values()} == {1}
+    # all places of the shortest mask, ten times
+    assert all(r.n_hits == 10 * 51 and r.best_equal == r.best_length == 16 for r in rows.values())
+    assert all(r.first_token == 60 * k and r.last_token == 60 * (180 + k) + 60 for k, r in rows.items())
+
+
+def test_no_whole_token_rows_are_handed_on_with_the_hits(spark, tables):
+    """A lambda on the window is no part of generated code, and a condition with one moves down to the join of the items."""
+    plan = decontaminate.find_overlaps(*tables)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert len(joins) == 2 and "lambdafunction" not in plan
+    cut = next(line for line in plan.split("\n") if "Generate explode(array(struct(start" in line)
+    assert cut.split("), [")[-1].startswith("doc_id") and "tokens" not in cut.split("), [")[-1]
