@@ -20,9 +20,10 @@ def norm(vector: Column) -> Column:
     return F.sqrt(_dot(vector, vector))
 
 
-def cosine(left: Column, right: Column) -> Column:
-    """Cosine similarity; NULL where either vector is zero or NULL."""
-    return F.try_divide(_dot(left, right), norm(left) * norm(right))
+def cosine(left: Column, right: Column, left_norm: Column | None = None, right_norm: Column | None = None) -> Column:
+    """Cosine similarity; NULL where either vector is zero or NULL. Norms that are known already may be given."""
+    lengths = [norm(v) if n is None else n for v, n in ((left, left_norm), (right, right_norm))]
+    return F.try_divide(_dot(left, right), lengths[0] * lengths[1])
 
 
 def tokens(text: Column) -> Column:
@@ -31,10 +32,14 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(words), F.array(*[F.lit(t) for t in ["", *PLACEHOLDERS]]))
 
 
+def covers(words: Column, wanted: Column) -> Column:
+    """True where `words` has all of `wanted`; no words never match."""
+    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, words)) == 0)
+
+
 def has_all_tokens(text: Column, query: Column) -> Column:
     """True where every word of the query occurs in the text; no words never match."""
-    wanted = tokens(query)
-    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, tokens(text))) == 0)
+    return covers(tokens(text), tokens(query))
 
 
 def hybrid_score(similarity: Column, keyword_match: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.vectors import cosine, has_all_tokens, hybrid_score
+from logloom.functions.vectors import cosine, covers, has_all_tokens, hybrid_score, norm, tokens
 from logloom.limits import DEFAULT, RequestError
 from logloom.operators.search import newest_first, oldest_first
-from logloom.operators.skew import SALTS, lookup_join, row_salt
+from logloom.operators.scoring import best_rows
+from logloom.operators.skew import SALTS, fits, lookup_join, row_salt
 from logloom.schemas import LOG_COLUMNS
+from logloom.session import cut_lineage
 
 EMBEDDING_KEY = ["tenant_id", "template_id", "model", "dims"]
 NO_EVIDENCE = "No supporting incident logs were found."
@@ -115,15 +117,28 @@ def hybrid_search_many(
 ) -> DataFrame:
     """Best k templates for each row of questions(question_id, tenant_id, vector,
     question). Scores are cut to k inside content-based sub-groups first, so one
-    tenant's templates are never ranked in one task."""
+    tenant's templates are never ranked in one task.
+
+    Pairs are what grows, so norms and words are taken once per row. Questions that may be broadcast are scored in
+    Arrow batches, which hand on the best k only; more of them are paired in a join, with equal scores.
+    """
     rows = embeddings.filter((F.col("model") == model) & (F.col("dims") == dims))
-    pairs = lookup_join(rows, questions, ["tenant_id"])
-    score = hybrid_score(
-        cosine(F.col("embedding"), F.col("vector")),
-        has_all_tokens(F.col("message_template"), F.col("question")),
+    ready = rows.select(
+        "tenant_id", "template_id", "embedding", norm(F.col("embedding")).alias("_norm"),
+        tokens(F.col("message_template")).alias("_words"),
+    )
+    asked = questions.select(
+        "question_id", "tenant_id", "vector", norm(F.col("vector")).alias("_asked_norm"),
+        tokens(F.col("question")).alias("_wanted"),
     )
+    if fits(asked):
+        slim = best_rows(ready, asked, k)
+    else:
+        pairs = lookup_join(ready, asked, ["tenant_id"])
+        similarity = cosine(F.col("embedding"), F.col("vector"), F.col("_norm"), F.col("_asked_norm"))
+        score = hybrid_score(similarity, covers(F.col("_words"), F.col("_wanted")))
+        slim = pairs.select("question_id", "tenant_id", "template_id", score.alias("score"))
     # ids and scores only; a task keeps its best k per question before anything is shuffled
-    slim = pairs.select("question_id", "tenant_id", "template_id", score.alias("score"))
     order = [F.desc("score"), F.col("template_id")]
     salted = slim.withColumn("_salt", row_salt(slim, SALTS))
     local = Window.partitionBy("question_id", "tenant_id", "_salt").orderBy(*order)
@@ -135,6 +150,7 @@ def hybrid_search_many(
         .filter(F.col("rank") <= k)
         .drop("_salt")
     )
+    best = cut_lineage(best)  # read three times below, and all pairs stand behind it
     # equal rows are winners of their own, but a template has one text
     key = ["tenant_id", "template_id"]
     won = lookup_join(rows.select(*key, "message_template"), best.select(*key).distinct(), key, how="left_semi")
