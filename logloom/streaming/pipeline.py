@@ -29,7 +29,7 @@ from logloom.operators import admission, normalize, notify
 from logloom.operators.binding import bind
 from logloom.operators.lifecycle import alert_events, reconcile
 from logloom.operators.rules import compile_rules, evaluate_at, evaluate_newest, newest_rows, runnable
-from logloom.operators.skew import lookup_join
+from logloom.operators.skew import fits, lookup_join
 from logloom.schemas import DEAD_LETTER_VERSION, RAW_EVENTS
 from logloom.session import cut_lineage
 from logloom.sources.batches import decode_batches, message_id
@@ -139,13 +139,16 @@ def new_letters(letters: DataFrame, stored: DataFrame) -> DataFrame:
 def not_yet_stored(batches: DataFrame, stored: DataFrame) -> DataFrame:
     """Distinct batches whose (tenant_id, ingest_id) the sink does not hold.
 
-    The key table grows with the sink, a micro-batch does not: its keys are sent to
-    the key table (broadcast if few), and only the hits come back.
+    The key table grows with the sink, a micro-batch does not: its keys are broadcast to the key table
+    if they are few, and only the hits come back. Beyond that bound (a replay, a bulk load) both sides are
+    dealt by the whole key: each has a key once by then, so there is no hot key to spread.
     """
     key = ["tenant_id", "ingest_id"]
     once = batches.dropDuplicates(key)
-    hits = lookup_join(stored.select(*key), once.select(*key), key, how="left_semi").distinct()
-    return once.join(hits, key, "left_anti")
+    asked, held = once.select(*key), stored.select(*key)
+    if fits(asked):
+        held = lookup_join(held, asked, key, how="left_semi")
+    return once.join(held.distinct(), key, "left_anti")
 
 
 def drop_repeats(stream: DataFrame, received: str = "received") -> DataFrame:
