@@ -209,3 +209,17 @@ def test_no_whole_token_rows_are_handed_on_with_the_hits(spark, tables):
     assert len(joins) == 2 and "lambdafunction" not in plan
     cut = next(line for line in plan.split("\n") if "Generate explode(array(struct(start" in line)
     assert cut.split("), [")[-1].startswith("doc_id") and "tokens" not in cut.split("), [")[-1]
+
+
+@pytest.mark.parametrize("most", [decontaminate.FOUND_ROWS, 0])
+def test_whole_documents_are_not_shuffled_to_drop_a_few(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "FOUND_ROWS", most)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame(
+        [(1, passage), (1, "other words"), (2, passage), (2, passage), (None, passage), (None, None), (3, None), (4, ""), (5, "kept " * 40), (5, "kept " * 40)],
+        "doc_id bigint, text string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, passage)], "item_id bigint, text string"))
+    rows = sorted((r.doc_id or 0, r.text or "") for r in left.collect())
+    assert rows == [(0, ""), (1, "other words"), (3, ""), (4, ""), (5, "kept " * 40), (5, "kept " * 40)]
+    joins = [line for line in left._jdf.queryExecution().optimizedPlan().toString().split("\n") if "LeftAnti" in line]
+    assert len(joins) == 1 and ("broadcast" in joins[0]) == (most > 0)
